@@ -5,6 +5,8 @@ All of these are plain Spark expressions; positions are 0-based character offset
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,32 @@ from paramill import vocabulary as v
 from paramill.functions import patterns as p
 
 
+def sql_literal(value: object) -> str:
+    """``value`` as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+@functools.cache
+def _map_sql(entries: tuple) -> str:
+    # one SQL text: building hundreds of literal columns one by one costs seconds per query
+    cells = []
+    for key, value in entries:
+        if isinstance(value, tuple):
+            inner = ", ".join(f"'{n}', {sql_literal(x)}" for n, x in value)
+            cells += [sql_literal(key), f"named_struct({inner})"]
+        else:
+            cells += [sql_literal(key), sql_literal(value)]
+    return f"map({', '.join(cells)})"
+
+
 def literal_map(table: dict) -> Column:
     """A constant map; Catalyst folds it into one literal."""
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.expr(_map_sql(tuple(table.items())))
 
 
 def lookup(table: dict, key: Column) -> Column:
@@ -24,12 +49,8 @@ def lookup(table: dict, key: Column) -> Column:
 
 def lookup_row(table: dict[str, dict], key: Column) -> Column:
     """As :func:`lookup` for rows of several named values, giving a struct."""
-    rows = [
-        c
-        for k, row in table.items()
-        for c in (F.lit(k), F.struct(*[F.lit(x).alias(n) for n, x in row.items()]))
-    ]
-    return F.try_element_at(F.create_map(*rows), key)
+    rows = tuple((k, tuple(row.items())) for k, row in table.items())
+    return F.try_element_at(F.expr(_map_sql(rows)), key)
 
 
 def strip(text: Column) -> Column:
@@ -292,21 +313,31 @@ def sentence_around(context: Column, anchor: Column) -> tuple[Column, Column]:
 def role_in_sentence(sentence: Column, at: Column) -> Column:
     """Nearest role spelling within reach of ``at``, null if none.
 
-    Per spelling only two places can win, the last start up to ``at`` and the first one
-    after it. Each becomes the number cost*100 + order*2 + (1 if after), so one minimum
-    settles cost first and vocabulary order second.
+    Per spelling only two places can win: the last start up to ``at`` and the first one
+    after it.
     """
-    codes = []
-    for order, (alias, _) in enumerate(_ROLE_ALIASES):
-        size = len(alias)
+    rows = ", ".join(
+        f"named_struct('ord', {i}, 'alias', {sql_literal(a)}, 'role', {sql_literal(r)})"
+        for i, (a, r) in enumerate(_ROLE_ALIASES)
+    )
+    spellings = F.expr(f"array({rows})")
+
+    def nearest(s: Column) -> Column:
+        size = F.length(s["alias"])
         upto = F.left(sentence, at + size)
-        last = F.length(upto) - F.length(F.substring_index(upto, alias, -1)) - size
-        behind = F.when(F.contains(upto, F.lit(alias)), (at - last) * 100 + order * 2)
-        place = F.call_function("locate", F.lit(alias), sentence, at + 2) - 1
-        ahead = F.when(place >= 0, (place - at + v.AFTER_PENALTY) * 100 + order * 2 + 1)
-        present = F.contains(sentence, F.lit(alias))
-        codes += [F.when(present, behind), F.when(present, ahead)]
-    best = F.least(*codes)
-    far = F.floor(best / 100) - F.when(best % 2 == 1, v.AFTER_PENALTY).otherwise(0)
-    role = F.get(F.array(*[F.lit(r) for _, r in _ROLE_ALIASES]), F.floor((best % 100) / 2).cast("int"))
-    return F.when(far <= v.ROLE_REACH, role)
+        rest = F.call_function("substring_index", upto, s["alias"], F.lit(-1))
+        back = F.when(F.contains(upto, s["alias"]), at - (F.length(upto) - F.length(rest) - size))
+        # locate counts from 1 and gives 0 when there is none
+        place = F.call_function("locate", s["alias"], sentence, at + 2)
+        ahead = F.when(place > 0, place - 1 - at)
+        cost = F.least(back, ahead + v.AFTER_PENALTY)
+        return F.struct(
+            cost.alias("cost"),
+            s["ord"].alias("ord"),
+            F.when(cost == back, back).otherwise(ahead).alias("far"),
+            s["role"].alias("role"),
+        )
+
+    found = F.filter(spellings, lambda s: F.contains(sentence, s["alias"]))
+    best = F.array_min(F.transform(found, nearest))
+    return F.get(F.filter(F.array(best), lambda b: b["far"] <= v.ROLE_REACH), F.lit(0))["role"]

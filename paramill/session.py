@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, app: str = "paramill", **settings: str) -
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # longer generated methods are never compiled by the JVM, so let Spark split them
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in settings.items():

@@ -91,3 +91,64 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("turn") + 1).cast("int").alias("page"),
         "text",
     )
+
+
+def first_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The first sentence of every page with the place of its number."""
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
+    which = F.col("o_orderkey") % len(SENTENCES)
+    place = F.element_at(F.array(*[F.lit(len(s[0])) for s in SENTENCES]), (which + 1).cast("int"))
+    return orders.select("o_orderkey", _sentence(which).alias("text"), place.alias("value_pos"))
+
+
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A training table per line item: gaps, outliers, a constant and a nearly empty column."""
+    key = F.col("l_orderkey")
+    return table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("source_id"),
+        F.when(key % 7 != 0, F.col("l_quantity")).alias("quantity"),
+        F.when(key % 97 == 0, F.col("l_extendedprice") * 50).otherwise(F.col("l_extendedprice")).alias("price"),
+        F.when(key % 5 != 1, F.col("l_discount")).alias("discount"),
+        F.lit(5.0).alias("constant"),
+        F.when(key % 31 == 0, F.col("l_tax")).alias("sparse"),
+        F.lit(None).cast("double").alias("empty"),
+        F.when(F.col("l_returnflag") == "R", "rejected").otherwise("accepted_candidate").alias("quality_status"),
+        F.when(F.col("l_linestatus") == "O", "approved")
+        .when(F.col("l_linenumber") == 1, "confirmed")
+        .otherwise("pending")
+        .alias("review_status"),
+    )
+
+
+def designs(spark: SparkSession, folder: str) -> DataFrame:
+    """A design per part, as raw text: blanks, aliases, bad numbers, values out of range."""
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    return table(spark, folder, "part").select(
+        k.alias("design_id"),
+        F.when(k % 7 == 0, "").when(k % 7 == 1, " 12.5 ").when(k % 7 == 2, "abc")
+        .otherwise((5 + k % 50).cast("string")).alias("长"),
+        F.when(k % 11 == 0, "0.05").otherwise(F.concat((2 + k % 9).cast("string"), F.lit(".5"))).alias("宽"),
+        F.when(k % 13 == 0, "25").otherwise("1.5").alias("高"),
+        F.when(k % 5 == 0, "水平潜流").when(k % 5 == 1, " Vertical ").when(k % 5 == 2, none)
+        .when(k % 5 == 3, "diagonal").otherwise("horizontal").alias("flow_type"),
+        F.when(k % 6 == 0, "2.5").when(k % 6 == 1, none).otherwise((1 + k % 8).cast("string")).alias("compartments"),
+        F.when(k % 4 == 0, none).when(k % 4 == 1, "1.6").otherwise("0.8").alias("water_depth"),
+        F.when(k % 17 == 0, "1.4").otherwise(none).alias("wall_thickness"),
+        F.when(k % 3 != 0, F.concat((10 + k % 30).cast("string"), F.lit(".3"))).alias("水力停留时间"),
+        F.when(k % 2 == 0, "7.25").otherwise("site a").alias("note"),
+    )
+
+
+def old_and_new_training(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Two training tables that share some documents and some columns."""
+    items = table(spark, folder, "lineitem").withColumn(
+        "pdf_name", F.concat(F.lit("study_"), F.col("l_suppkey").cast("string"), F.lit(".pdf"))
+    )
+    old = items.where("l_linenumber <= 4").groupBy("pdf_name").agg(
+        F.count("*").alias("a"), F.sum("l_quantity").alias("b")
+    )
+    new = items.where("l_linenumber > 4 and l_suppkey % 3 = 0").groupBy("pdf_name").agg(
+        F.count("*").alias("a"), F.max("l_extendedprice").alias("c")
+    )
+    return old, new

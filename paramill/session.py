@@ -53,11 +53,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     pruning, and a lost executor costs a re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete the table that :func:`stage` wrote for ``df`` once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "-stage-" not in name:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give a scan of few file splits one partition per core before CPU-heavy work.
 

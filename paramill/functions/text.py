@@ -143,41 +143,54 @@ def normalize_keyword(word: Column) -> Column:
     return lookup(v.ALIAS_PARAMETER, F.lower(word))
 
 
-def _starts(text: Column, pattern: str, length: int) -> Column:
-    """Start offsets of a fixed-length pattern, non-overlapping, left to right."""
-    gaps = F.split(text, pattern, -1)
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+def _occurrences(text: Column, spellings: list[dict]) -> Column:
+    """All places of some spellings: structs of ``ord, position`` and the named extras.
 
-    def step(acc: Column, gap: Column) -> Column:
-        begin = acc["at"] + F.length(gap)
-        return F.struct((begin + length).alias("at"), F.array_append(acc["out"], begin).alias("out"))
-
-    return F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), init, step, lambda acc: acc["out"])
+    Only spellings that occur at all are cut out by their pattern; the rest cost one
+    substring test. Non-overlapping, by spelling, then left to right.
+    """
+    rows = ", ".join(
+        "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in row.items()) + ")" for row in spellings
+    )
+    extras = [k for k in spellings[0] if k not in ("ord", "alias", "pattern")]
+    lowered = F.lower(text)
 
+    def places(s: Column) -> Column:
+        size = F.length(s["alias"])
+        gaps = F.call_function("split", lowered, s["pattern"], F.lit(-1))
+        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(
+            F.slice(gaps, 1, F.size(gaps) - 1),
+            init,
+            lambda acc, gap: F.struct(
+                (acc["at"] + F.length(gap) + size).alias("at"),
+                F.array_append(acc["out"], acc["at"] + F.length(gap)).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+        return F.transform(
+            starts,
+            lambda at: F.struct(
+                s["ord"].alias("ord"), at.alias("position"), *[s[k].alias(k) for k in extras]
+            ),
+        )
 
-def _tag(starts: Column, order: int, **names: str) -> Column:
-    """Turn start offsets into occurrences that carry their order and names."""
-    extra = [F.lit(value).alias(key) for key, value in names.items()]
-    return F.transform(starts, lambda s: F.struct(F.lit(order).alias("ord"), s.alias("position"), *extra))
+    present = F.filter(F.expr(f"array({rows})"), lambda s: F.contains(lowered, s["alias"]))
+    return F.flatten(F.transform(present, places))
 
 
 def keyword_occurrences(text: Column, parameters: list[str] | None = None) -> Column:
-    """Every spelling found: ``array<struct<ord,position,parameter,alias>>``.
+    """Every spelling found: ``array<struct<ord,position,parameter,name>>``.
 
-    Ordered by the place of the spelling in the vocabulary, then by position;
+    ``name`` is the spelling. Ordered by its place in the vocabulary, then by position;
     ``parameters`` restricts the search.
     """
-    lowered = F.lower(text)
-    found = []
-    for order, (alias, parameter) in enumerate(v.ALIAS_PARAMETER.items()):
-        if parameters is not None and parameter not in parameters:
-            continue
-        starts = F.when(
-            F.contains(lowered, F.lit(alias)), _starts(lowered, p.alias_pattern(alias), len(alias))
-        ).otherwise(F.array().cast("array<int>"))
-
-        found.append(_tag(starts, order, parameter=parameter, alias=alias))
-    return F.flatten(F.array(*found))
+    spellings = [
+        {"ord": i, "alias": a, "pattern": p.alias_pattern(a), "parameter": q, "name": a}
+        for i, (a, q) in enumerate(v.ALIAS_PARAMETER.items())
+        if parameters is None or q in parameters
+    ]
+    return _occurrences(text, spellings)
 
 
 def nearest_keyword(context: Column, value_pos: Column | None = None) -> Column:
@@ -190,7 +203,7 @@ def nearest_keyword(context: Column, value_pos: Column | None = None) -> Column:
     if value_pos is None:
         best = F.get(found, F.lit(0))
         return F.when(best.isNotNull(), F.struct(best["parameter"].alias("parameter"),
-                                                 best["alias"].alias("alias"),
+                                                 best["name"].alias("alias"),
                                                  best["position"].alias("position")))
 
     def key(o: Column) -> Column:
@@ -198,13 +211,13 @@ def nearest_keyword(context: Column, value_pos: Column | None = None) -> Column:
         late = F.when(o["position"] > value_pos, v.AFTER_PENALTY).otherwise(0)
         return F.struct(
             (far + late).alias("cost"), o["ord"].alias("ord"), o["position"].alias("position"),
-            o["parameter"].alias("parameter"), o["alias"].alias("alias"),
+            o["parameter"].alias("parameter"), o["name"].alias("name"),
         )
 
     best = F.array_min(F.transform(found, key))
     return F.when(
         F.abs(best["position"] - value_pos) <= v.KEYWORD_REACH,
-        F.struct(best["parameter"].alias("parameter"), best["alias"].alias("alias"),
+        F.struct(best["parameter"].alias("parameter"), best["name"].alias("alias"),
                  best["position"].alias("position")),
     )
 
@@ -277,14 +290,13 @@ _ROLE_ALIASES: list[tuple[str, str]] = [(a, r) for r, names in v.ROLES.items() f
 
 def role_occurrences(text: Column) -> Column:
     """Every role spelling found: ``array<struct<ord,position,role>>`` in vocabulary order."""
-    lowered = F.lower(text)
-    found = []
-    for order, (alias, role) in enumerate(_ROLE_ALIASES):
-        starts = F.when(
-            F.contains(lowered, F.lit(alias)), _starts(lowered, p.quoted(alias), len(alias))
-        ).otherwise(F.array().cast("array<int>"))
-        found.append(_tag(starts, order, role=role))
-    return F.flatten(F.array(*found))
+    return _occurrences(
+        text,
+        [
+            {"ord": i, "alias": a, "pattern": p.quoted(a), "role": r}
+            for i, (a, r) in enumerate(_ROLE_ALIASES)
+        ],
+    )
 
 
 def water_role(context: Column, anchor: Column | None = None) -> Column:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from paramill import vocabulary as v
 from paramill.operators.extraction import DETAIL_COLUMNS
 
-# what makes a record the same record; present before numbering and after it
-_IDENTITY = ["pdf_name", "page", "mention"]
-
-
 def training_columns() -> list[str]:
     """Every column a training table can have: closed, so pivoting needs no discovery job."""
     names = []
@@ -23,10 +19,17 @@ def training_columns() -> list[str]:
     return sorted(names)
 
 
-def clean_detail(detail: DataFrame) -> DataFrame:
-    """Exact copies once, records without parameter or value dropped."""
-    detail = detail.dropna(subset=["parameter", "value"])
-    return detail.dropDuplicates(_IDENTITY) if "mention" in detail.columns else detail.distinct()
+def clean_detail(detail: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Exact copies once, records without parameter or value dropped.
+
+    A table that needs few columns names them: what identifies a record is kept beside them,
+    and nothing else is compared or shuffled.
+    """
+    identity = ["record_id"] if "record_id" in detail.columns else ["pdf_name", "page", "mention"]
+    if columns is not None:
+        detail = detail.select(*dict.fromkeys([*identity, *columns]))
+    present = [c for c in ("parameter", "value") if c in detail.columns]
+    return detail.dropna(subset=present).distinct()
 
 
 def is_accepted() -> Column:
@@ -60,12 +63,12 @@ def review_table(detail: DataFrame) -> DataFrame:
     return detail.where(~is_accepted() | is_ambiguous())
 
 
-def training_records(detail: DataFrame) -> DataFrame:
-    """Records fit for training, with the training column each one belongs to."""
+def with_training_parameter(detail: DataFrame) -> DataFrame:
+    """Add the training column a record belongs to; null if it is not fit for training."""
     name = F.when(
         F.col("category") == v.WATER_QUALITY, F.concat_ws("__", "parameter", "water_role")
     ).otherwise(F.col("parameter"))
-    return detail.where(is_accepted() & ~is_ambiguous()).withColumn("training_parameter", name)
+    return detail.withColumn("training_parameter", F.when(is_accepted() & ~is_ambiguous(), name))
 
 
 def training_table(detail: DataFrame, columns: list[str] | None = None, drop_empty: bool = True) -> DataFrame:
@@ -74,25 +77,31 @@ def training_table(detail: DataFrame, columns: list[str] | None = None, drop_emp
     ``columns`` fixes the layout; by default every possible column is computed in one pass
     and those without any value are dropped, which is settled by a one-row aggregate. With
     ``drop_empty=False`` the layout is complete and nothing runs.
+
+    Unfit records are left out of the means instead of filtered away first: a filter would
+    be pushed into the extraction below and score every record twice. Documents that have
+    no value at all are dropped at the end.
     """
     names = columns or training_columns()
+    named = with_training_parameter(detail)
     wide = (
-        training_records(detail)
-        .select("pdf_name", "training_parameter", "value")
+        named.select("pdf_name", "training_parameter", "value")
         .groupBy("pdf_name")
         .pivot("training_parameter", names)
         .agg(F.avg("value"))
     )
-    if columns is not None or not drop_empty:
-        return wide
-    seen = training_records(detail).groupBy("training_parameter").count().collect()  # at most 36 rows
-    present = {row["training_parameter"] for row in seen}
-    return wide.select("pdf_name", *[n for n in names if n in present])
+    if columns is None and drop_empty:
+        # at most one row per known column
+        seen = named.groupBy("training_parameter").count().collect()
+        present = {row["training_parameter"] for row in seen}
+        names = [n for n in names if n in present]
+        wide = wide.select("pdf_name", *names)
+    filled = F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull() if names else F.lit(False)
+    return wide.where(filled)
 
 
 def build_tables(detail: DataFrame) -> dict[str, DataFrame]:
-    """The five output tables. ``detail`` should be staged: each table reads it."""
-    detail = clean_detail(detail)
+    """The five output tables of a cleaned detail; stage it first, each table reads it."""
     return {
         "detail": detail.select(*DETAIL_COLUMNS),
         "summary": summary(detail),

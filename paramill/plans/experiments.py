@@ -78,7 +78,7 @@ def train_imputer(
     frame = drop_constant_columns(data.numeric())
     if len(frame.columns) < 2 or frame.isEmpty():
         raise ValueError("用于 Imputer 训练的数据不足：至少需要 1 行和 2 个数值特征")
-    frame = stage(frame, "training")
+    frame = stage(frame, "training", parallel=True)
     imputer = ChainedImputer(
         n_estimators=n_estimators, max_iter=max_iter, initial_strategy=initial_strategy
     )
@@ -166,7 +166,7 @@ def train_supervised(
     data = prepare_supervised(
         load_dataset(df, min_non_na_ratio, remove_outliers_flag, require_reviewed, source_column), target
     )
-    frame = stage(data.frame, "supervised")
+    frame = stage(data.frame, "supervised", parallel=True)
     source = SOURCE if data.source else None
     folded, folds, strategy = make_folds(frame, n_splits, source, random_state)
     folded = stage(folded, "folds")

@@ -127,7 +127,7 @@ ORACLES["review_table"] = MENTIONS + (
 _TRAINING = f"""tr AS (SELECT pdf_name, CASE WHEN category = '{v.WATER_QUALITY}' THEN parameter || '__' || water_role
  ELSE parameter END AS tp, value FROM d WHERE {_ACCEPTED} AND NOT {_AMBIGUOUS})"""
 ORACLES["training_pivot"] = MENTIONS + f", {_TRAINING} SELECT pdf_name, " + ", ".join(
-    f"round(avg(value) FILTER (WHERE tp = '{c}'), 6) AS \"{c}\"" for c in training_columns()
+    f"round(avg(value) FILTER (WHERE tp = '{c}'), 9) AS \"{c}\"" for c in training_columns()
 ) + " FROM tr GROUP BY pdf_name"
 ORACLES["run_counts"] = MENTIONS + f""", {_TRAINING}
 SELECT count(*) AS detail_rows, count(*) FILTER (WHERE {_ACCEPTED} AND NOT {_AMBIGUOUS}) AS accepted_rows,
@@ -151,7 +151,25 @@ _ANY_ROLE = (
     "CASE WHEN t IN (0, 4, 10) THEN 'influent' WHEN t IN (1, 7, 12) THEN 'effluent' WHEN t = 14 THEN 'removal' "
     "ELSE 'unspecified' END"
 )
-ORACLES["water_role"] = _FIRST + f"SELECT k AS o_orderkey, {_ANY_ROLE} AS role_anywhere, {_ANY_ROLE} AS role_near FROM f"
+ORACLES["water_role"] = _FIRST + (
+    f"SELECT k AS o_orderkey, {_ANY_ROLE} AS role_anywhere, CASE WHEN t = 12 THEN 'unspecified' ELSE {_ANY_ROLE} END AS role_near FROM f"
+)
+
+
+def _present(alias: str) -> str:
+    if not alias.isascii():
+        return f"contains(lower(text), {lit(alias)})"
+    return f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_]){alias}($|[^\\p{{L}}\\p{{N}}_])')"
+
+
+ORACLES["classify_documents"] = (
+    "SELECT 'doc_' || doc_id AS pdf_name, CASE "
+    + " ".join(f"WHEN {_present(a)} THEN '{v.PARAMETER_CATEGORY[q]}'" for a, q in v.ALIAS_PARAMETER.items()
+               if "(" not in a)
+    + f" ELSE '{v.OTHER_CATEGORY}' END AS category, CASE "
+    + " ".join(f"WHEN contains(lower(text), {lit(a)}) THEN '{r}'" for r, names in v.ROLES.items() for a in names)
+    + " ELSE 'unspecified' END AS role FROM documents"
+)
 
 _WORDS = [("COD", "COD"), ("Nh3-N", "氨氮"), ("temp", "温度"), ("Dissolved Oxygen", "溶解氧"), ("basin", None), ("温度", "温度")]
 ORACLES["keyword_lookup"] = (

@@ -30,8 +30,8 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.report_pages(spark, folder)
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.clean_detail(extraction.match_records(_pages(spark, folder)))
+def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return tables.clean_detail(extraction.match_records(_pages(spark, folder)), list(columns))
 
 
 def _row(spark: SparkSession, values: dict) -> DataFrame:
@@ -76,7 +76,7 @@ def keyword_occurrences(spark, folder):
     found = inputs.first_sentences(spark, folder).select(
         "o_orderkey", F.explode(text.keyword_occurrences(F.col("text"))).alias("o")
     )
-    return found.select("o_orderkey", "o.parameter", "o.alias", "o.position")
+    return found.select("o_orderkey", "o.parameter", F.col("o.name").alias("alias"), "o.position")
 
 
 @query
@@ -102,6 +102,17 @@ def water_role(spark, folder):
     )
 
 
+@query
+def classify_documents(spark, folder):
+    """Category and role words of the given documents, whole texts."""
+    docs = inputs.document_pages(spark, folder)
+    return docs.select(
+        "pdf_name",
+        text.classify_text(F.col("text")).alias("category"),
+        text.water_role(F.col("text")).alias("role"),
+    )
+
+
 @query
 def parse_value_range(spark, folder):
     texts = ["12~22", "-5", "abc", " 7.5 ", "1e3", "1 - 3", "10d", "3－4"]
@@ -159,7 +170,9 @@ def extract_detail(spark, folder):
 
 @query
 def extract_summary(spark, folder):
-    return tables.summary(_records(spark, folder))
+    return tables.summary(
+        _records(spark, folder, "pdf_name", "quality_status", "category", "parameter", "unit")
+    )
 
 
 @query
@@ -172,30 +185,31 @@ def extract_conversations(spark, folder):
     return extraction.extract(inputs.conversation_pages(spark, folder))
 
 
+_TRAINING = ["pdf_name", "quality_status", "category", "water_role", "parameter", "value"]
+
 # --- tables -----------------------------------------------------------------------------
 
 
 @query
 def quality_report(spark, folder):
-    return tables.quality_report(_records(spark, folder))
+    return tables.quality_report(_records(spark, folder, "quality_status", "quality_reason"))
 
 
 @query
 def review_table(spark, folder):
-    return tables.review_table(_records(spark, folder)).select(
-        "pdf_name", "page", "water_role", "quality_status", "parameter", "value", "unit", "context"
-    )
+    shown = ["pdf_name", "page", "water_role", "quality_status", "parameter", "value", "unit", "context"]
+    return tables.review_table(_records(spark, folder, *shown, "category")).select(*shown)
 
 
 @query
 def training_pivot(spark, folder):
-    wide = tables.training_table(_records(spark, folder), drop_empty=False)
-    return wide.select("pdf_name", *[F.round(_c(c), 6).alias(c) for c in wide.columns[1:]])
+    wide = tables.training_table(_records(spark, folder, *_TRAINING), drop_empty=False)
+    return wide.select("pdf_name", *[F.round(_c(c), 9).alias(c) for c in wide.columns[1:]])
 
 
 @query
 def run_counts(spark, folder):
-    records = stage(_records(spark, folder), "records")
+    records = stage(_records(spark, folder, *_TRAINING), "records")
     return tables.run_counts(records, tables.training_table(records, drop_empty=False))
 
 
@@ -416,6 +430,7 @@ def regression_metrics(spark, folder):
 @query
 def baseline_rmse(spark, folder):
     folded, folds = splits.hash_folds(_closed_form(spark, folder), 5, SEED, "l_orderkey")
+    folded = stage(folded.select("y", "fold"), "folds", parallel=True)
     rmse = metrics.median_baseline(folded, F.col("y"), folds)
     return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(rmse)], "fold int, rmse double")
 
@@ -468,7 +483,7 @@ def imputer_eval(spark, folder):
 def _folded(spark: SparkSession, folder: str, folds: int) -> tuple[DataFrame, int]:
     rows = inputs.training_rows(spark, folder).select("source_id", "quantity", "price", "discount")
     folded, folds, _ = splits.make_folds(rows.where("price is not null"), folds, "source_id", SEED)
-    return stage(folded, "folds"), folds
+    return stage(folded, "folds", parallel=True), folds
 
 
 def _pipeline(model_type: str, **params) -> training.SupervisedPipeline:

@@ -5,9 +5,10 @@ Every builder is a plain projection of one table, so its size follows the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paramill.functions.text import sql_literal
 from paramill.session import spread
 
 
@@ -39,39 +40,40 @@ SENTENCES: list[tuple[str, str, str]] = [
 ]
 
 
-def _number(kind: str) -> Column:
-    key = F.col("o_orderkey")
-    n = 1 + key % 40
-    text = {
-        "n": n.cast("string"),
-        "p": F.col("o_totalprice").cast("decimal(14,2)").cast("string"),
-        "frac": F.concat(F.lit("0."), F.lpad((1 + key % 97).cast("string"), 2, "0")),
-        "range": F.concat(n.cast("string"), F.lit("~"), (n + 10).cast("string")),
-        "half": F.concat(n.cast("string"), F.lit(".5")),
-        "y": (1990 + key % 30).cast("string"),
-        "minus": F.concat(F.lit("-"), n.cast("string")),
-    }
-    return text[kind]
+_N = "(1 + o_orderkey % 40)"
+_NUMBER = {
+    "n": _N,
+    "p": "cast(o_totalprice as decimal(14,2))",
+    "frac": "concat('0.', lpad(cast(1 + o_orderkey % 97 as string), 2, '0'))",
+    "range": f"concat({_N}, '~', {_N} + 10)",
+    "half": f"concat({_N}, '.5')",
+    "y": "(1990 + o_orderkey % 30)",
+    "minus": f"concat('-', {_N})",
+}
 
 
-def _sentence(which: Column) -> Column:
-    out = None
-    for i, (before, kind, after) in enumerate(SENTENCES):
-        one = F.concat(F.lit(before), _number(kind), F.lit(after))
-        out = F.when(which == i, one) if out is None else out.when(which == i, one)
-    return out
+def _sentence(which: str) -> str:
+    """SQL for the sentence with the number ``which``."""
+    cases = " ".join(
+        f"WHEN {i} THEN concat({sql_literal(before)}, {_NUMBER[kind]}, {sql_literal(after)})"
+        for i, (before, kind, after) in enumerate(SENTENCES)
+    )
+    return f"CASE {which} {cases} END"
+
+
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
 
 
 def report_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One page of report text per order; the documents are the customers."""
-    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
-    key = F.col("o_orderkey")
-    first = key % len(SENTENCES)
-    second = (F.floor(key / len(SENTENCES)) + F.col("o_custkey")) % len(SENTENCES)
-    return orders.select(
-        F.concat(F.lit("study_"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("pdf_name"),
-        (key + 1).cast("int").alias("page"),
-        F.concat(F.lit(FILLER), _sentence(first), F.lit(FILLER), _sentence(second), F.lit(FILLER)).alias("text"),
+    count, filler = len(SENTENCES), sql_literal(FILLER)
+    first = _sentence(f"o_orderkey % {count}")
+    second = _sentence(f"(o_orderkey div {count} + o_custkey) % {count}")
+    return _orders(spark, folder).selectExpr(
+        "concat('study_', o_custkey, '.pdf') AS pdf_name",
+        "cast(o_orderkey + 1 AS int) AS page",
+        f"concat({filler}, {first}, {filler}, {second}, {filler}) AS text",
     )
 
 
@@ -95,10 +97,13 @@ def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The first sentence of every page with the place of its number."""
-    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
-    which = F.col("o_orderkey") % len(SENTENCES)
-    place = F.element_at(F.array(*[F.lit(len(s[0])) for s in SENTENCES]), (which + 1).cast("int"))
-    return orders.select("o_orderkey", _sentence(which).alias("text"), place.alias("value_pos"))
+    which = f"o_orderkey % {len(SENTENCES)}"
+    places = ", ".join(str(len(before)) for before, _, _ in SENTENCES)
+    return _orders(spark, folder).selectExpr(
+        "o_orderkey",
+        f"{_sentence(which)} AS text",
+        f"element_at(array({places}), cast({which} + 1 AS int)) AS value_pos",
+    )
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,6 +19,8 @@ def local_session(cpus: int | str = 8, app: str = "paramill", **settings: str) -
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # call sites of every column expression are slow to record
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # longer generated methods are never compiled by the JVM, so let Spark split them
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.showConsoleProgress", "false")
@@ -46,16 +48,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, parallel: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written table.
 
     Costly results with several readers are computed a single time, readers get column
-    pruning, and a lost executor costs a re-read instead of a recomputation.
+    pruning, and a lost executor costs a re-read instead of a recomputation. ``parallel``
+    is for tables that are read many times over: a table of fewer files than cores, hence a
+    small one, is written again in one file per core.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if not parallel or staged.rdd.getNumPartitions() >= cores:
+        return staged
+    wide = f"{path}-wide"
+    staged.repartition(cores).write.parquet(wide)
+    drop_stage(staged)
+    return spark.read.schema(df.schema).parquet(wide)
 
 
 def drop_stage(df: DataFrame) -> None:

@@ -41,9 +41,9 @@ def apply_batch(pages: DataFrame, batch: int, folder: str) -> None:
     and overwrites its own.
     """
     spark = pages.sparkSession
-    detail = stage(extract(pages), "batch")
+    detail = stage(clean_detail(extract(pages)), "batch")
     detail.write.mode("overwrite").parquet(f"{folder}/detail/batch={batch:010d}")
-    new = training_table(clean_detail(detail))
+    new = training_table(detail)
     existing = current_training(spark, folder, before=batch)
     merge_training(existing, new).write.mode("overwrite").parquet(_version(folder, batch))
     drop_stage(detail)

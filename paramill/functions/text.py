@@ -6,6 +6,7 @@ All of these are plain Spark expressions; positions are 0-based character offset
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,17 +113,18 @@ def mention_windows(pieces: Column, reach: int = v.CONTEXT_CHARS) -> Column:
 
 def mention_offsets(pieces: Column) -> Column:
     """``array<struct<start,end>>`` of the mentions, summed from the piece lengths."""
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(
-        F.transform(pieces, F.length),
-        init,
-        lambda acc, n: F.struct(
-            (acc["at"] + n).alias("at"), F.array_append(acc["ends"], acc["at"] + n).alias("ends")
-        ),
-        lambda acc: acc["ends"],
+    lengths = F.transform(pieces, lambda x, i: F.struct(F.length(x).alias("n"), (i % 2 == 1).alias("is_hit")))
+    init = F.struct(
+        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")
     )
-    spans = F.transform(ends, lambda e, i: F.when(i % 2 == 1, F.struct(F.get(ends, i - 1).alias("start"), e.alias("end"))))
-    return F.filter(spans, lambda s: s.isNotNull())
+
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + piece["n"]
+        span = F.struct(acc["at"].alias("start"), end.alias("end"))
+        out = F.when(piece["is_hit"], F.array_append(acc["out"], span)).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    return F.aggregate(lengths, init, step, lambda acc: acc["out"])
 
 
 def mention_value(hit: Column) -> Column:
@@ -143,6 +145,11 @@ def normalize_keyword(word: Column) -> Column:
     return lookup(v.ALIAS_PARAMETER, F.lower(word))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside the lambdas of ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _occurrences(text: Column, spellings: list[dict]) -> Column:
     """All places of some spellings: structs of ``ord, position`` and the named extras.
 
@@ -153,9 +160,8 @@ def _occurrences(text: Column, spellings: list[dict]) -> Column:
         "named_struct(" + ", ".join(f"'{k}', {sql_literal(x)}" for k, x in row.items()) + ")" for row in spellings
     )
     extras = [k for k in spellings[0] if k not in ("ord", "alias", "pattern")]
-    lowered = F.lower(text)
 
-    def places(s: Column) -> Column:
+    def places(lowered: Column, s: Column) -> Column:
         size = F.length(s["alias"])
         gaps = F.call_function("split", lowered, s["pattern"], F.lit(-1))
         init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
@@ -175,8 +181,11 @@ def _occurrences(text: Column, spellings: list[dict]) -> Column:
             ),
         )
 
-    present = F.filter(F.expr(f"array({rows})"), lambda s: F.contains(lowered, s["alias"]))
-    return F.flatten(F.transform(present, places))
+    def search(lowered: Column) -> Column:
+        present = F.filter(F.expr(f"array({rows})"), lambda s: F.contains(lowered, s["alias"]))
+        return F.flatten(F.transform(present, lambda s: places(lowered, s)))
+
+    return let(F.lower(text), search)
 
 
 def keyword_occurrences(text: Column, parameters: list[str] | None = None) -> Column:
@@ -311,7 +320,8 @@ def water_role(context: Column, anchor: Column | None = None) -> Column:
         return F.coalesce(*tests, unspecified)
 
     sentence, at = sentence_around(context, anchor)
-    return F.coalesce(role_in_sentence(sentence, at), unspecified)
+    around = F.struct(sentence.alias("text"), at.alias("at"))
+    return F.coalesce(let(around, lambda s: role_in_sentence(s["text"], s["at"])), unspecified)
 
 
 def sentence_around(context: Column, anchor: Column) -> tuple[Column, Column]:

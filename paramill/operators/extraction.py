@@ -147,21 +147,19 @@ def number_records(records: DataFrame) -> DataFrame:
         .agg(F.countDistinct("mention").alias("n"))
         .groupBy("pdf_name", "page_block")
         .agg(F.sum("n").alias("n"))
-        .select(
-            F.col("pdf_name").alias("doc"),
-            F.col("page_block").alias("doc_block"),
-            F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_block"),
-        )
+        .select("pdf_name", "page_block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_block"))
     )
     inside = Window.partitionBy("pdf_name", "page_block").orderBy("page", "mention")
     numbered = records.withColumn("n_in_block", F.dense_rank().over(inside))
-    same_block = F.col("pdf_name").eqNullSafe(F.col("doc")) & (F.col("page_block") == F.col("doc_block"))
     record_id = F.concat(
         F.col("pdf_name"), F.lit(":p"), F.col("page").cast("string"), F.lit(":"),
         (F.col("before_block") + F.col("n_in_block")).cast("string"),
     )
+    # the records are partitioned by the join keys already; left, so that none can be lost
     return (
-        numbered.join(before, same_block).withColumn("record_id", record_id).select(*DETAIL_COLUMNS)
+        numbered.join(before, ["pdf_name", "page_block"], "left")
+        .withColumn("record_id", record_id)
+        .select(*DETAIL_COLUMNS)
     )
 
 

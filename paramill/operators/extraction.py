@@ -143,10 +143,8 @@ def number_records(records: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("pdf_name").orderBy("page_block").rowsBetween(Window.unboundedPreceding, -1)
     # exact copies of a page carry the same mentions; count each mention once
     before = (
-        records.groupBy("pdf_name", "page_block", "page")
-        .agg(F.countDistinct("mention").alias("n"))
-        .groupBy("pdf_name", "page_block")
-        .agg(F.sum("n").alias("n"))
+        records.groupBy("pdf_name", "page_block")
+        .agg(F.countDistinct("page", "mention").alias("n"))
         .select("pdf_name", "page_block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_block"))
     )
     inside = Window.partitionBy("pdf_name", "page_block").orderBy("page", "mention")

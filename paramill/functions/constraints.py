@@ -199,6 +199,7 @@ def design_brief(df: DataFrame) -> Column:
     The load clause follows the retention time; alone it comes one line later. Decimals that
     end in an exact half are rounded up.
     """
+    # fixed values: the texts of the brief
     def optional(name: str, text: Column) -> Column:
         return F.when(_c(name).isNotNull(), text) if name in df.columns else F.lit(None).cast("string")
 

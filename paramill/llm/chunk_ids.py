@@ -2,17 +2,49 @@
 
 That tokenizer drops white space and never lets a token or a normalisation step reach over a
 space or a line feed, so the ids of a text are those of its pieces between spaces and line
-feeds, one after the other. Each task keeps the ids of pieces it has met (bounded, then
-started anew) and asks the library for the others, all of a batch in one call.
+feeds, one after the other. Each Python worker keeps the ids of chunks it has met (bounded, then
+started anew). A new chunk of Latin-1 characters, for which normalising is lower-casing alone, is
+cut by the published pattern and goes straight to the library's merge model; any other chunk goes
+through the library as a whole.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import re
+import struct
 
-#: Remembered chunks per Python worker, and the longest chunk worth remembering.
+#: Remembered chunks and pieces per Python worker, and the longest ones worth remembering.
 REMEMBERED = 300_000
 LONGEST = 48
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACES = "\\x09-\\x0d \x85\xa0"
+#: The tokenizer's pattern, restricted to lower-case Latin-1.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
+def letter_of_byte() -> dict[int, str]:
+    """The published rule that writes bytes as letters: printable Latin-1 stands for itself,
+    the other bytes follow from U+0100 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Memory(dict):
+    """Remembers what ``work`` gives for short keys; starts anew when full."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key):
+        value = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class ChunkIds:
@@ -21,33 +53,27 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = letter_of_byte()
+        self.pieces = _Memory(self._piece)
+        self.chunks = _Memory(self._chunk)
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        starts = np.cumsum([0] + [len(c) + 1 for c in chunks])
-        encoding = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(encoding.ids, dtype="<u4").tobytes()
-        begins = np.array([a for a, _ in encoding.offsets], dtype=np.int64)
-        cuts = (4 * np.searchsorted(begins, starts)).tolist()
-        return {c: ids[cuts[i] : cuts[i + 1]] for i, c in enumerate(chunks)}
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if (chunk.isascii() or max(chunk) < "Ā") and "<|" not in chunk:
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk.lower())))
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        out = []
-        for first in range(0, len(texts), 256):
-            pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[first : first + 256]]
-            missing = set().union(*pieces).difference(self.known)
-            if missing and len(self.known) + len(missing) > REMEMBERED:
-                self.known = {"": b""}
-                missing = set().union(*pieces).difference(self.known)
-            if missing:
-                self.known.update(self._learn(sorted(missing)))
-            out += [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-            for chunk in missing:
-                if len(chunk) > LONGEST:
-                    del self.known[chunk]
-        return out
+        of = self.chunks.__getitem__
+        return [b"".join(map(of, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
 
 _shared: dict[str, ChunkIds] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paramill.llm import exact_dedup, packing, token_counts, token_files
+from paramill.llm import exact_dedup, html_text, language, mixing, neighbours, packing, quality, token_counts, token_files
 from paramill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,18 @@ def _documents(work: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: work(table(spark, sf_dir, "documents"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": _quality,
+    "op3_language_id": _documents(language.identify),
     "op4_packing": _documents(packing.pack),
     "op5_token_counts": _documents(token_counts.token_counts),
+    "op6_nearest_neighbours": lambda spark, sf_dir: neighbours.nearest(table(spark, sf_dir, "embeddings")),
+    "op7_html_text": lambda spark, sf_dir: html_text.extract(table(spark, sf_dir, "pages")),
+    "op8_source_mixing": _documents(mixing.mix),
     "op9_token_files": _documents(token_files.token_file_digest),
     "op10_exact_dedup": _documents(exact_dedup.duplicates),
 }

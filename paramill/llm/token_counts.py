@@ -26,22 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paramill.llm.chunk_ids import REMEMBERED, _Memory, letter_of_byte
 from paramill.llm.common import arrow_map
 
-REMEMBERED = 300_000
-LONGEST = 64
 NEVER = 1 << 30
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
-def _byte_of_letter() -> dict[str, int]:
-    """The published rule that writes bytes as letters: printable Latin-1 stands for itself,
-    the other bytes follow from U+0100 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class PrefixCounter:
     def __init__(self, name: str = "byte_bpe_50k.json"):
         import public_tokenizers
@@ -49,7 +40,7 @@ class PrefixCounter:
 
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _byte_of_letter()
+        letters = {c: b for b, c in letter_of_byte().items()}
         raw = {token: bytes(letters[c] for c in token) for token in spec["model"]["vocab"]}
         ids = spec["model"]["vocab"]
         self.vocabulary = {raw[token]: i for token, i in ids.items()}
@@ -68,9 +59,9 @@ class PrefixCounter:
         self.before_word = regex.compile(r"(?V1)(?= \S)")
         self.compatible: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.first: dict[str, int] = {"": 0}
-        self.spaced: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.pieces = _Memory(lambda piece: self.last(piece.encode())[1])
+        self.first = _Memory(self._chunk)
+        self.spaced = _Memory(lambda chunk: self._chunk(" " + chunk))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts of a token that touch its boundary (side 0: left, 1: right), each with the
@@ -122,45 +113,45 @@ class PrefixCounter:
                 break
         return counts
 
-    def _chunk(self, chunk: str) -> int:
-        total, pieces = 0, self.pieces
-        for p in self.pattern.findall(chunk):
-            n = pieces.get(p)
-            if n is None:
-                n = self.piece(p.encode())[-1]
-                if len(p) <= LONGEST:
-                    if len(pieces) > REMEMBERED:
-                        pieces.clear()
-                    pieces[p] = n
-            total += n
-        return total
+    def last(self, word: bytes) -> tuple[int, int]:
+        """Last token and number of tokens of one piece: the entry of the table for the whole
+        piece, with only those entries for shorter prefixes that it rests on."""
+        if len(word) > self.longest:
+            return -1, self.piece(word)[-1]
+        find, fits, compatible = self.vocabulary.get, self._fits, self.compatible
+        table = {0: (-1, 0)}
+
+        def entry(end: int) -> tuple[int, int]:
+            found = table.get(end)
+            if found is None:
+                for begin in range(end):
+                    token = find(word[begin:end])
+                    if token is None:
+                        continue
+                    before, n = entry(begin)
+                    if before >= 0:
+                        fit = compatible.get(before << 17 | token)
+                        if not (fits(before, token) if fit is None else fit):
+                            continue
+                    found = table[end] = (token, n + 1)
+                    break
+            return found
+
+        return entry(len(word))
 
-    def _known(self, memory: dict[str, int], chunk: str, lead: str) -> int:
-        n = memory.get(chunk)
-        if n is None:
-            n = self._chunk(lead + chunk)
-            if len(chunk) <= LONGEST:
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                memory[chunk] = n
-        return n
+    def _chunk(self, chunk: str) -> int:
+        return sum(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
 
     def _plain(self, text: str) -> int:
         """Tokens of a text without special strings."""
-        if not text:
-            return 0
-        if self.odd_space.search(text):
-            chunks = self.before_word.split(text)
-            rest = [c[1:] for c in chunks if c[:1] == " " and c[1:2].strip()]
-            loose = [c for c in chunks if not (c[:1] == " " and c[1:2].strip())]
-            total = sum(self._known(self.first, c, "") for c in loose)
-        else:
+        if not self.odd_space.search(text):
             first, *rest = text.split(" ")
-            total = self._known(self.first, first, "")
-        try:
-            return total + sum(map(self.spaced.__getitem__, rest))
-        except KeyError:
-            return total + sum([self._known(self.spaced, c, " ") for c in rest])
+            return self.first[first] + sum(map(self.spaced.__getitem__, rest))
+        total = 0
+        for chunk in self.before_word.split(text):
+            word = chunk[:1] == " " and not chunk[1:2].isspace()
+            total += self.spaced[chunk[1:]] if word else self.first[chunk]
+        return total
 
     def count(self, text: str) -> int:
         if self.specials and any(s in text for s in self.specials):

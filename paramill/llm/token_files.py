@@ -34,49 +34,52 @@ VOCABULARY = 49_408
 #: Ids that a block gathers before it is closed; a document is never split over blocks.
 BLOCK_IDS = 1 << 20
 #: Replacement rounds, pairs replaced in a round, and the least occurrences that make a rule.
-ROUNDS, PAIRS, LEAST = 6, 1024, 12
-BINS = 1 << 18
+ROUNDS, PAIRS, LEAST = 4, 1024, 12
+BIN_BITS = 18
 BLOCK = "shard int, block int, n_docs long, n_ids long, blob binary"
 DOC = "shard int, block int, place long, doc_id long, start_in_block long, n_tokens long, ids_crc32 long"
 
 
-def _frequent(codes: np.ndarray) -> np.ndarray:
-    """The most frequent pair codes, ascending. Counts are exact for pairs of the fullest bins."""
-    bins = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    filled = np.bincount(bins, minlength=BINS)
-    full = np.zeros(BINS, dtype=bool)
-    top = np.argsort(-filled, kind="stable")[:PAIRS]
-    full[top[filled[top] >= LEAST]] = True
-    pairs, n = np.unique(codes[full[bins]], return_counts=True)
-    often = np.nonzero(n >= LEAST)[0]
-    return np.sort(pairs[often[np.argsort(-n[often], kind="stable")][:PAIRS]])
+def _frequent(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs, ascending; where they occur; which of them occurs there.
+
+    A count of hash bins finds what can be frequent; counts are exact for pairs of the fullest.
+    """
+    bins = (codes * np.uint32(2654435761)) >> np.uint32(32 - BIN_BITS)
+    filled = np.bincount(bins, minlength=1 << BIN_BITS)
+    least = max(LEAST, int(np.partition(filled, -PAIRS)[-PAIRS]))
+    at = np.nonzero((filled >= least)[bins] & inside)[0]
+    pairs, which, n = np.unique(codes[at], return_inverse=True, return_counts=True)
+    often = n >= LEAST
+    if often.sum() > PAIRS:
+        often[np.argsort(-n, kind="stable")[PAIRS:]] = False
+    kept = often[which]
+    return pairs[often], at[kept], (np.cumsum(often) - 1)[which[kept]]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (pairs, in order of their symbols) and which symbols end a document."""
-    symbols, rules, next_symbol = ids.astype(np.uint64), [], VOCABULARY
+    symbols, rules, next_symbol = ids.astype(np.uint16), [], VOCABULARY
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        codes = symbols[:-1] << np.uint64(16) | symbols[1:]
-        inside = np.nonzero(~ends[:-1])[0]
-        chosen = _frequent(codes[inside])
+        codes = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
+        chosen, at, which = _frequent(codes, ~ends[:-1])
         if not len(chosen) or next_symbol + len(chosen) > 1 << 16:
             break
-        rank = np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)
-        at = np.nonzero((chosen[rank] == codes) & ~ends[:-1])[0]
         # of pairs that overlap, the first, third, ... of the run are replaced
+        order = np.arange(len(at))
         new_run = np.concatenate([[True], np.diff(at) != 1])
-        in_run = np.arange(len(at)) - np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        at = at[in_run % 2 == 0]
-        symbols[at] = (next_symbol + rank[at]).astype(np.uint64)
+        first = (order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0
+        at, which = at[first], which[first]
+        symbols[at] = next_symbol + which
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols, ends = symbols[keep], ends[keep]
-        rules.append(np.stack([chosen >> np.uint64(16), chosen & np.uint64(0xFFFF)], axis=1))
+        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         next_symbol += len(chosen)
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint64)
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
     return symbols.astype("<u2"), pairs.astype("<u2"), ends
 
 

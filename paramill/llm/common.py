@@ -17,7 +17,6 @@ from paramill.session import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words: space and the five control characters from tab to carriage return.
-NOT_WORD = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _folders: dict[str, SparkSession] = {}

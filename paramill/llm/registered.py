@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paramill.llm import exact_dedup, html_text, language, mixing, neighbours, packing, quality, token_counts, token_files
+from paramill.llm import exact_dedup, html_text, jaccard_join, language, mixing, neighbours, packing, quality, token_counts, token_files
 from paramill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": _quality,
+    "op2_ngram_jaccard_join": _documents(jaccard_join.near_duplicates),
     "op3_language_id": _documents(language.identify),
     "op4_packing": _documents(packing.pack),
     "op5_token_counts": _documents(token_counts.token_counts),
@@ -32,4 +33,4 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": _documents(exact_dedup.duplicates),
 }
 
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": jaccard_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -19,6 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words: space and the five control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows whose values a Python worker holds as objects at a time.
+ROWS_AT_ONCE = 512
+
 _folders: dict[str, SparkSession] = {}
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -58,8 +61,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` that hands on at most ``ROWS_AT_ONCE`` rows at a time."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def sliced(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(first, ROWS_AT_ONCE)
+
+    return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
 
 
 def scratch_folder(spark: SparkSession) -> str:

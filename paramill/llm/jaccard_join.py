@@ -41,6 +41,8 @@ SKETCH_BITS, SKETCH_RANGES = 22, 64
 #: Classes of a chunk, and fragments of the n-gram order.
 CHUNK, FRAGMENT_BITS = 1024, 2
 FRAGMENTS = 1 << FRAGMENT_BITS
+#: Prefix n-grams that a reading task gathers before it deals them out.
+PREFIXES_HELD = 1 << 19
 _SHIFT = np.uint64(CODE_BITS - SKETCH_BITS)
 
 
@@ -96,10 +98,29 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _prefixes(sketch, owners: int):
     """Prefix n-grams with their class, dealt to the owners of n-gram ranges."""
 
+    def dealt(codes, names):
+        code, name = np.concatenate(codes), np.concatenate(names)
+        owner = (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
+        order = np.argsort(owner, kind="stable")
+        code, name, owner = code[order], name[order], owner[order]
+        cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(owner[a]) for a, _ in spans], pa.int32()),
+                pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
+                pa.array([name[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["owner", "codes", "classes"],
+        )
+
     def run(batches):
         counts = sketch.value
+        codes, names, seen = [], [], set()
         for batch in batches:
-            codes, names, seen = [], [], set()
+            if sum(map(len, codes)) > PREFIXES_HELD:
+                yield dealt(codes, names)
+                codes, names, seen = [], [], set()
             for text in batch.column(0).to_pylist():
                 own = shingle_codes(text)
                 if not len(own) or (key := set_key(own)) in seen:
@@ -108,35 +129,23 @@ def _prefixes(sketch, owners: int):
                 order = np.lexsort((own, counts[(own >> _SHIFT).astype(np.int64)]))[: prefix_length(len(own))]
                 codes.append(own[order])
                 names.append(np.full(len(order), key, dtype=np.int64))
-            if not codes:
-                continue
-            code, name = np.concatenate(codes), np.concatenate(names)
-            owner = (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
-            order = np.argsort(owner, kind="stable")
-            code, name, owner = code[order], name[order], owner[order]
-            cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
-            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(owner[a]) for a, _ in spans], pa.int32()),
-                    pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
-                    pa.array([name[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
-                ],
-                names=["owner", "codes", "classes"],
-            )
+        if codes:
+            yield dealt(codes, names)
 
     return run
 
 
 def _stars(key, table):
-    """Edges from each class of a shared prefix n-gram to the least class of that n-gram."""
+    """Edges that join the classes of every shared prefix n-gram, without cycles."""
     code = np.concatenate([_unpacked(x.as_py()) for x in table.column("codes")])
     name = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("classes")])
     order = np.lexsort((name, code))
     code, name = code[order], name[order]
     first = np.concatenate([[True], code[1:] != code[:-1]])
     least = name[np.nonzero(first)[0]][np.cumsum(first) - 1]
-    edges = np.unique(np.stack([name, least], axis=1)[name != least], axis=0)
+    nodes, ends = np.unique(np.stack([name, least])[:, name != least], return_inverse=True)
+    kept = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(nodes))
+    edges = nodes[np.array(kept, dtype=np.int64).reshape(-1, 2)]
     return pa.table({"u": pa.array(edges[:, 0], pa.int64()), "v": pa.array(edges[:, 1], pa.int64())})
 
 

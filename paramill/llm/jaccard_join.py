@@ -6,8 +6,9 @@ Documents are sets of word shingles; two of them link when their Jaccard similar
    in a sketch of fixed size; the global n-gram order is (count in the sketch, code), rare first.
    A sketch only shapes the order, and any order gives the same links.
 2. Two linked classes share an n-gram among the first quarter of either's order (prefix). Owners of
-   n-gram ranges hang all classes of a shared prefix n-gram on the least of them, which gives
-   linearly many edges; their components are blocks that hold every link inside.
+   n-gram ranges order the classes of a shared prefix n-gram by set size and join neighbours whose
+   sizes allow the similarity, which gives linearly many edges and still joins any two classes
+   that could link; the components of these edges are blocks that hold every link inside.
 3. Blocks are cut into tiles of at most two chunks of classes, and the n-gram codes into fragments.
    Each (tile, fragment) counts partial overlaps of all pairs of the tile; per tile the partial
    counts are summed per pair and compared with the sizes. A tile passes on a spanning forest of
@@ -41,6 +42,8 @@ SKETCH_BITS, SKETCH_RANGES = 22, 64
 #: Classes of a chunk, and fragments of the n-gram order.
 CHUNK, FRAGMENT_BITS = 1024, 2
 FRAGMENTS = 1 << FRAGMENT_BITS
+#: Set sizes are compared as logarithms to base 2, so many steps to one, in two bytes.
+SIZE_STEPS = 2500
 #: Prefix n-grams that a reading task gathers before it deals them out.
 PREFIXES_HELD = 1 << 19
 _SHIFT = np.uint64(CODE_BITS - SKETCH_BITS)
@@ -98,29 +101,32 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _prefixes(sketch, owners: int):
     """Prefix n-grams with their class, dealt to the owners of n-gram ranges."""
 
-    def dealt(codes, names):
-        code, name = np.concatenate(codes), np.concatenate(names)
+    def dealt(codes, names, sizes):
+        code, lengths = np.concatenate(codes), list(map(len, codes))
+        name = np.repeat(np.array(names, dtype="<i8"), lengths)
+        size = np.repeat((np.log2(sizes) * SIZE_STEPS).astype("<u2"), lengths)
         owner = (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
         order = np.argsort(owner, kind="stable")
-        code, name, owner = code[order], name[order], owner[order]
+        code, name, size, owner = code[order], name[order], size[order], owner[order]
         cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([int(owner[a]) for a, _ in spans], pa.int32()),
                 pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
-                pa.array([name[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary()),
+                pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
             ],
-            names=["owner", "codes", "classes"],
+            names=["owner", "codes", "classes", "sizes"],
         )
 
     def run(batches):
         counts = sketch.value
-        codes, names, seen = [], [], set()
+        codes, names, sizes, seen = [], [], [], set()
         for batch in batches:
             if sum(map(len, codes)) > PREFIXES_HELD:
-                yield dealt(codes, names)
-                codes, names, seen = [], [], set()
+                yield dealt(codes, names, sizes)
+                codes, names, sizes, seen = [], [], [], set()
             for text in batch.column(0).to_pylist():
                 own = shingle_codes(text)
                 if not len(own) or (key := set_key(own)) in seen:
@@ -128,22 +134,25 @@ def _prefixes(sketch, owners: int):
                 seen.add(key)
                 order = np.lexsort((own, counts[(own >> _SHIFT).astype(np.int64)]))[: prefix_length(len(own))]
                 codes.append(own[order])
-                names.append(np.full(len(order), key, dtype=np.int64))
+                names.append(key)
+                sizes.append(len(own))
         if codes:
-            yield dealt(codes, names)
+            yield dealt(codes, names, sizes)
 
     return run
 
 
-def _stars(key, table):
-    """Edges that join the classes of every shared prefix n-gram, without cycles."""
+def _edges(key, table):
+    """Edges between classes that share a prefix n-gram and whose sizes allow the similarity,
+    without cycles."""
     code = np.concatenate([_unpacked(x.as_py()) for x in table.column("codes")])
     name = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("classes")])
-    order = np.lexsort((name, code))
-    code, name = code[order], name[order]
-    first = np.concatenate([[True], code[1:] != code[:-1]])
-    least = name[np.nonzero(first)[0]][np.cumsum(first) - 1]
-    nodes, ends = np.unique(np.stack([name, least])[:, name != least], return_inverse=True)
+    size = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in table.column("sizes")]).astype(np.int64)
+    order = np.lexsort((name, size, code))
+    code, name, size = code[order], name[order], size[order]
+    near = size[1:] - size[:-1] <= SIZE_STEPS * np.log2(100 / SIMILAR) + 2  # rounding may only let more through
+    joined = np.nonzero((code[1:] == code[:-1]) & near & (name[1:] != name[:-1]))[0]
+    nodes, ends = np.unique(np.stack([name[joined], name[joined + 1]]), return_inverse=True)
     kept = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(nodes))
     edges = nodes[np.array(kept, dtype=np.int64).reshape(-1, 2)]
     return pa.table({"u": pa.array(edges[:, 0], pa.int64()), "v": pa.array(edges[:, 1], pa.int64())})
@@ -286,8 +295,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sketch[r["range"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     shared = spark.sparkContext.broadcast(sketch.ravel())
 
-    prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary")
-    edges = prefixes.groupBy("owner").applyInArrow(_stars, "u long, v long")
+    prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary")
+    edges = prefixes.groupBy("owner").applyInArrow(_edges, "u long, v long")
     blocks = written(components(edges), "jaccard-blocks")
 
     classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))

@@ -37,8 +37,9 @@ from paramill.llm.shingles import CODE_BITS, set_key, shingle_codes
 
 #: Similarity in hundredths.
 SIMILAR = 75
-#: Counters of the sketch (2 to this power, four bytes each: 16 MB whatever the data), dealt in ranges.
-SKETCH_BITS, SKETCH_RANGES = 22, 64
+#: Counters of the sketch (2 to this power, one byte each that stops at 255: 32 MB whatever the
+#: data), dealt in ranges.
+SKETCH_BITS, SKETCH_RANGES = 25, 64
 #: Classes of a chunk, and fragments of the n-gram order.
 CHUNK, FRAGMENT_BITS = 1024, 2
 FRAGMENTS = 1 << FRAGMENT_BITS
@@ -59,20 +60,22 @@ def _tasks(df: DataFrame) -> int:
 
 def _first_pass(batches):
     """One row per document, and the counts of the task's shingles."""
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, slots = [], [], [np.zeros(0, dtype=np.uint32)]
         for text in batch.column(1).to_pylist():
             codes = shingle_codes(text)
             sizes.append(len(codes))
             keys.append(set_key(codes) if len(codes) else None)
-            np.add.at(sketch, (codes >> _SHIFT).astype(np.int64), np.uint32(1))
+            slots.append((codes >> _SHIFT).astype(np.uint32))
+        slot, more = np.unique(np.concatenate(slots), return_counts=True)
+        sketch[slot] = np.minimum(sketch[slot] + more, 255)
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
             names=["doc_id", "n_shingles", "class", "range", "counts"],
         )
-    parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, SKETCH_RANGES)]
+    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_RANGES)]
     none = pa.nulls(len(parts), pa.int64())
     yield pa.RecordBatch.from_arrays(
         [none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
@@ -83,8 +86,9 @@ def _first_pass(batches):
 def _sum_sketch(key, table):
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_RANGES, dtype=np.uint32)
     for blob in table.column("counts"):
-        total += np.frombuffer(zlib.decompress(blob.as_py()), dtype="<u4")
-    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint8)
+    counts = np.minimum(total, 255).astype(np.uint8)
+    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -290,9 +294,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(arrow_map(texts, _first_pass, "doc_id long, n_shingles long, class long, range int, counts binary"), "jaccard-sets")
     rows = first.filter("range IS NULL").select("doc_id", "n_shingles", "class")
     parts = first.filter("range IS NOT NULL").select("range", "counts").groupBy("range").applyInArrow(_sum_sketch, "range int, counts binary")
-    sketch = np.zeros((SKETCH_RANGES, (1 << SKETCH_BITS) // SKETCH_RANGES), dtype=np.uint32)
+    sketch = np.zeros((SKETCH_RANGES, (1 << SKETCH_BITS) // SKETCH_RANGES), dtype=np.uint8)
     for r in parts.toLocalIterator():
-        sketch[r["range"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+        sketch[r["range"]] = np.frombuffer(r["counts"], dtype=np.uint8)
     shared = spark.sparkContext.broadcast(sketch.ravel())
 
     prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary")

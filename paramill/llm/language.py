@@ -19,6 +19,8 @@ are scored each. Further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections import defaultdict
 
@@ -35,7 +37,11 @@ FOLDS, HELD_OUT = 3, 1
 LONGEST = 32
 #: Probability of a letter outside the vocabulary, and pseudo-count of every piece.
 UNKNOWN, SMOOTHING = 1e-8, 0.05
-REMEMBERED = 200_000
+#: Words whose scores a task remembers, words of a text summed together, and words looked up together.
+REMEMBERED, SECTION, WORDS_AT_ONCE = 200_000, 4096, 1 << 16
+#: An edge of a lattice in one number: piece id, begin, end.
+ID_BITS, END_SHIFT = 24, 32
+ID, PLACE = (1 << ID_BITS) - 1, (1 << END_SHIFT - ID_BITS) - 1
 UNDECIDED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -58,23 +64,37 @@ class Pieces:
         self.size = model.get_piece_size()
         plain = (i for i in range(self.size) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
         self.ids = {model.id_to_piece(i): i for i in plain}
-        self.longest = max(map(len, self.ids))
+        # every beginning of a piece, so that a search can stop where no piece goes on
+        self.begun = {piece[:n]: -1 for piece in self.ids for n in range(1, len(piece))} | self.ids
+
+    def edges(self, word: str) -> list[int]:
+        """The marked word's pieces, by begin: end, begin and id in one number each."""
+        marked, find, out = "▁" + word, self.begun.get, []
+        length = len(marked)
+        for begin in range(length):
+            at = begin << ID_BITS
+            single = find(marked[begin])
+            if single is None or single < 0:  # a letter outside the vocabulary
+                out.append((begin + 1) << END_SHIFT | at | self.size)
+            else:
+                out.append((begin + 1) << END_SHIFT | at | single)
+            if single is None:
+                continue
+            for end in range(begin + 2, length + 1):
+                piece = find(marked[begin:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    out.append(end << END_SHIFT | at | piece)
+        return out
 
     def lattice(self, word: str) -> list[tuple[list[int], list[int]]]:
         """For each end in the marked word: where pieces ending there begin, and their ids."""
-        marked, find = "▁" + word, self.ids.get
-        out = []
-        for end in range(1, len(marked) + 1):
-            begins, ids = [], []
-            for begin in range(max(0, end - self.longest), end):
-                piece = find(marked[begin:end])
-                if piece is not None:
-                    begins.append(begin)
-                    ids.append(piece)
-            if not ids or begins[-1] != end - 1:  # a letter outside the vocabulary
-                begins.append(end - 1)
-                ids.append(self.size)
-            out.append((begins, ids))
+        out = [([], []) for _ in range(len(word) + 1)]
+        for edge in self.edges(word):
+            begins, ids = out[(edge >> END_SHIFT) - 1]
+            begins.append(edge >> ID_BITS & PLACE)
+            ids.append(edge & ID)
         return out
 
     def forward(self, lattice, probabilities: np.ndarray) -> np.ndarray:
@@ -85,6 +105,28 @@ class Pieces:
             sums[end] = (sums[begins] * probabilities[ids]).sum(axis=0)
         return sums
 
+    def forward_all(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
+        """The last row of ``forward`` for many words at once: (words, languages).
+
+        All words take a step together: the sums up to one end need only the sums before it.
+        """
+        found = [self.edges(word) for word in words]
+        edge = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64)
+        row = np.repeat(np.arange(len(words)), [len(x) for x in found])
+        end = edge >> END_SHIFT
+        order = np.lexsort((row, end))
+        edge, row, end = edge[order], row[order], end[order]
+        begin, piece = edge >> ID_BITS & PLACE, edge & ID
+        lengths = np.array([len(word) + 1 for word in words])
+        sums = np.zeros((lengths.max() + 1, len(words), probabilities.shape[1]))
+        sums[0] = 1.0
+        cuts = np.searchsorted(end, np.arange(1, lengths.max() + 2))
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
+            rows = row[a:b]
+            starts = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
+            sums[at, rows[starts]] = np.add.reduceat(sums[begin[a:b], rows] * probabilities[piece[a:b]], starts, axis=0)
+        return sums[lengths, np.arange(len(words))]
+
     def expected(self, lattice, probability: list[float]):
         """Expected uses of each piece in a word's segmentations, for one language."""
         before, after = [1.0], [0.0] * len(lattice) + [1.0]
@@ -98,6 +140,12 @@ class Pieces:
                 after[begin] += probability[piece] * rest
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(vocabulary: str) -> Pieces:
+    """The vocabulary, read once per process."""
+    return Pieces(vocabulary)
+
+
 class Languages:
     """Learnt probabilities: one column per language, one row per piece, the last for unknown letters."""
 
@@ -106,33 +154,48 @@ class Languages:
 
     def score(self, batches):
         """Rows of (doc_id, held_out, text) to (doc_id, held_out, lang_pred, score)."""
-        pieces = Pieces(self.vocabulary)
+        pieces = loaded(self.vocabulary)
         place: dict[str, int] = {}
         logs = np.zeros((REMEMBERED, len(self.names)))
+
+        def add(words: list[str], lengths: list[int], texts: list[int], totals: np.ndarray) -> None:
+            """Add the scores of consecutive sections of words to the texts they belong to."""
+            different = dict.fromkeys(words)
+            fresh = [word for word in different if word not in place]
+            if len(place) + len(fresh) > REMEMBERED:
+                place.clear()
+                fresh = list(different)
+            for first in range(0, len(fresh), SECTION):
+                part = fresh[first : first + SECTION]
+                at = len(place)
+                logs[at : at + len(part)] = np.log(pieces.forward_all(part, self.probabilities))
+                place.update(zip(part, range(at, at + len(part)), strict=True))
+            rows = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+            np.add.at(totals, texts, np.add.reduceat(logs[rows], starts, axis=0))
+
         for batch in batches:
+            totals = np.zeros((batch.num_rows, len(self.names)))
+            decided = np.zeros(batch.num_rows, dtype=bool)
+            words, lengths, texts = [], [], []
+            for at, text in enumerate(batch.column(2).to_pylist() if self.names else []):
+                own = words_of(text or "")
+                decided[at] = bool(own)
+                for first in range(0, len(own), SECTION):
+                    section = own[first : first + SECTION]
+                    words += section
+                    lengths.append(len(section))
+                    texts.append(at)
+                    if len(words) >= WORDS_AT_ONCE:
+                        add(words, lengths, texts, totals)
+                        words, lengths, texts = [], [], []
+            if words:
+                add(words, lengths, texts, totals)
             predicted, scores = [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text or "")
-                if not words or not self.names:
-                    predicted.append(UNDECIDED)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(self.names))
-                for first in range(0, len(words), 4096):  # new words of a section always find room
-                    section = words[first : first + 4096]
-                    if len(place) + len(section) > REMEMBERED:
-                        place.clear()
-                    rows = []
-                    for word in section:
-                        at = place.get(word)
-                        if at is None:
-                            at = place[word] = len(place)
-                            logs[at] = np.log(pieces.forward(pieces.lattice(word), self.probabilities)[-1])
-                        rows.append(at)
-                    total += logs[rows].sum(axis=0)
-                best = int(np.argmax(total))
-                predicted.append(self.names[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+            for total, known in zip(totals, decided.tolist(), strict=True):
+                best = int(np.argmax(total)) if known else 0
+                predicted.append(self.names[best] if known else UNDECIDED)
+                scores.append(float(1.0 / np.exp(total - total[best]).sum()) if known else 0.0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -143,7 +206,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUND
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(FOLDS, HELD_OUT))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().toLocalIterator()}
     names = sorted(counts)
-    size = Pieces(vocabulary).size
+    size = loaded(vocabulary).size
     if not names:
         return Languages([], np.zeros((size + 1, 0)), vocabulary)
     # a hash of the id below a share of its range that gives the wanted number of documents
@@ -170,7 +233,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUND
         now = probabilities
 
         def expect(batches, now=now):
-            pieces = Pieces(vocabulary)
+            pieces = loaded(vocabulary)
             sums = [dict[int, float]() for _ in names]
             columns = now.T.tolist()
             for batch in batches:

@@ -204,6 +204,9 @@ def test_language(spark, folder, odd, none):
     probability = np.full((pieces.size + 1, 1), 0.01)
     ways = lambda w: 1.0 if not w else sum(0.01 * ways(w[n:]) for n in range(1, len(w) + 1) if w[:n] in pieces.ids)
     assert pieces.forward(pieces.lattice("other"), probability)[-1, 0] == pytest.approx(ways("▁other"))
+    words = ["other", "x", "ꙮ", "straße", "日本語", "o" * 32, "an", "other"]
+    one_by_one = [pieces.forward(pieces.lattice(w), probability)[-1] for w in words]
+    assert np.allclose(pieces.forward_all(words, probability), one_by_one, rtol=1e-12, atol=0)
     got = {r.doc_id: r.lang_pred for r in language.identify(odd).collect()}
     assert got[0] == got[1] == got[2] == got[13] == "und" and got[9] == "en"
     assert language.identify(none).count() == 0

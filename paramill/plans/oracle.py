@@ -428,7 +428,16 @@ light AS (SELECT s, n, {_hash('s')}::DOUBLE / 4503599627370496 * list_sum(r) AS
 SELECT sizes.s AS l_suppkey, deal.fold AS fold, sizes.n AS "rows" FROM deal JOIN sizes ON sizes.s = deal.s UNION ALL
 SELECT s, CASE WHEN place < r[1] THEN 0 WHEN place < r[1] + r[2] THEN 1 WHEN place < r[1] + r[2] + r[3] THEN 2
  WHEN place < r[1] + r[2] + r[3] + r[4] THEN 3 ELSE 4 END::INTEGER, n FROM light"""
-ORACLES["hash_folds"] = f"SELECT o_orderkey, CAST({_hash('o_orderkey')} % 5 AS INTEGER) AS fold FROM orders"
+
+
+def _folds(table: str, key: str) -> str:
+    """Five parts of equal size in the order of the hash; equal keys share the later part."""
+    later = " + ".join(f"(upto > {i} * total // 5)::INTEGER" for i in range(1, 5))
+    return f"""(SELECT *, {later} AS fold FROM (
+ SELECT *, count(*) OVER (ORDER BY {_hash(key)}) AS upto, count(*) OVER () AS total FROM {table}))"""
+
+
+ORACLES["hash_folds"] = f"SELECT o_orderkey, fold FROM {_folds('orders', 'o_orderkey')}"
 ORACLES["group_holdout"] = f"""
 WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY {_hash('l_suppkey')}, l_suppkey) AS i, count(*) OVER () AS g FROM s)
@@ -439,7 +448,7 @@ ORACLES["regression_metrics"] = _CLOSED + """g AS (SELECT avg((y - p) * (y - p))
  avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape, quantile_cont(abs(y - p), 0.5) AS med, var_pop(y) AS s FROM c)
 SELECT round(mse, 1) AS "MSE", round(sqrt(mse), 4) AS "RMSE", round(mae, 4) AS "MAE", round(mape, 8) AS "MAPE",
  round(med, 4) AS "MedAE", round(1 - mse / s, 8) AS "R2" FROM g"""
-ORACLES["baseline_rmse"] = _CLOSED + f"""f AS (SELECT y, CAST({_hash('l_orderkey')} % 5 AS INTEGER) AS fold FROM c),
+ORACLES["baseline_rmse"] = _CLOSED + f"""f AS (SELECT y, fold FROM {_folds('c', 'l_orderkey')}),
 med AS (SELECT k.fold, quantile_cont(f.y, 0.5) AS m FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY 1)
 SELECT f.fold, round(sqrt(avg((y - m) * (y - m))), 4) AS rmse FROM f JOIN med USING (fold) GROUP BY 1"""
 ORACLES["impute_initial"] = ROWS + " UNION ALL ".join(

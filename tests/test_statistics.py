@@ -68,6 +68,16 @@ def test_fewer_than_three_sources_fall_back(spark):
     assert splits.hash_folds(df.limit(2), 5)[1] == 2
 
 
+@pytest.mark.parametrize("rows", [3, 5, 6, 20])
+def test_no_fold_is_empty(spark, rows):
+    df = spark.createDataFrame([(i, float(i)) for i in range(rows)], "id int, y double")
+    folded, folds = splits.hash_folds(df, 5, 42, "id")
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    assert folds == min(5, rows) and sorted(sizes) == list(range(folds))
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert len(metrics.median_baseline(folded, F.col("y"), folds)) == folds
+
+
 def test_null_sources_are_one_group(spark):
     df = spark.createDataFrame([(None, 1.0)] * 9 + [("a", 1.0), ("b", 1.0), ("c", 1.0)], "src string, x double")
     folded, folds = splits.group_folds(df, "src", 5)

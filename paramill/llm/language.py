@@ -20,9 +20,9 @@ are scored each. Further columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,8 @@ LONGEST = 32
 UNKNOWN, SMOOTHING = 1e-8, 0.05
 #: Words whose scores a task remembers, words of a text summed together, and words looked up together.
 REMEMBERED, SECTION, WORDS_AT_ONCE = 200_000, 4096, 1 << 16
-#: An edge of a lattice in one number: piece id, begin, end.
-ID_BITS, END_SHIFT = 24, 32
-ID, PLACE = (1 << ID_BITS) - 1, (1 << END_SHIFT - ID_BITS) - 1
+#: Bits of a letter's code point.
+LETTER_BITS = 21
 UNDECIDED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -53,6 +52,27 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+class Edges(NamedTuple):
+    """Pieces that fit into marked words: word, first letter, end and piece of each, and the words' letters."""
+
+    word: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    letters: np.ndarray
+
+    def steps(self, place: np.ndarray):
+        """The edges by ``place``, and within by word: order, and the bounds of every place from 0 on."""
+        order = np.argsort(place * len(self.letters) + self.word, kind="stable")
+        return order, np.searchsorted(place[order], np.arange(self.letters.max() + 2))
+
+
+def _sums_by_word(values: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, ascending in ``word``, and the sums of their values."""
+    starts = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0] if len(word) else np.zeros(0, dtype=np.int64)
+    return word[starts], np.add.reduceat(values, starts, axis=0) if len(word) else values
+
+
 class Pieces:
     """The vocabulary: pieces without control and byte entries, by their letters."""
 
@@ -64,80 +84,80 @@ class Pieces:
         self.size = model.get_piece_size()
         plain = (i for i in range(self.size) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
         self.ids = {model.id_to_piece(i): i for i in plain}
-        # every beginning of a piece, so that a search can stop where no piece goes on
-        self.begun = {piece[:n]: -1 for piece in self.ids for n in range(1, len(piece))} | self.ids
-
-    def edges(self, word: str) -> list[int]:
-        """The marked word's pieces, by begin: end, begin and id in one number each."""
-        marked, find, out = "▁" + word, self.begun.get, []
-        length = len(marked)
-        for begin in range(length):
-            at = begin << ID_BITS
-            single = find(marked[begin])
-            if single is None or single < 0:  # a letter outside the vocabulary
-                out.append((begin + 1) << END_SHIFT | at | self.size)
-            else:
-                out.append((begin + 1) << END_SHIFT | at | single)
-            if single is None:
-                continue
-            for end in range(begin + 2, length + 1):
-                piece = find(marked[begin:end])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    out.append(end << END_SHIFT | at | piece)
-        return out
-
-    def lattice(self, word: str) -> list[tuple[list[int], list[int]]]:
-        """For each end in the marked word: where pieces ending there begin, and their ids."""
-        out = [([], []) for _ in range(len(word) + 1)]
-        for edge in self.edges(word):
-            begins, ids = out[(edge >> END_SHIFT) - 1]
-            begins.append(edge >> ID_BITS & PLACE)
-            ids.append(edge & ID)
-        return out
-
-    def forward(self, lattice, probabilities: np.ndarray) -> np.ndarray:
-        """Sums over all segmentations of every prefix, per language: (letters + 1, languages)."""
-        sums = np.zeros((len(lattice) + 1, probabilities.shape[1]))
-        sums[0] = 1.0
-        for end, (begins, ids) in enumerate(lattice, 1):
-            sums[end] = (sums[begins] * probabilities[ids]).sum(axis=0)
-        return sums
-
-    def forward_all(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
-        """The last row of ``forward`` for many words at once: (words, languages).
+        # every beginning of a piece is a node; a (node, next letter) pair leads to the node it makes
+        nodes = {"": 0}
+        for piece in self.ids:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        keys = np.array([nodes[text[:-1]] << LETTER_BITS | ord(text[-1]) for text in nodes if text], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = keys[order], order + 1
+        self.piece_of = np.array([self.ids.get(text, -1) for text in nodes], dtype=np.int64)
+
+    def edges(self, words: list[str]) -> Edges:
+        """All pieces in the marked words; a letter that is no piece has an edge of its own.
+
+        All places take a step together, to the node of one more letter, while pieces go on.
+        """
+        letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        codes = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), letters)
+        last = np.cumsum(letters)
+        begin = np.arange(len(codes)) - (last - letters)[word]
+        limit = last[word]
+        at, node = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        found = []
+        length = 0
+        while len(at):
+            length += 1
+            key = node << LETTER_BITS | codes[at + length - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            goes_on = self.keys[place] == key
+            node = np.where(goes_on, self.nodes[place], 0)
+            piece = self.piece_of[node]
+            if length == 1:
+                piece = np.where(piece < 0, self.size, piece)
+            fits = piece >= 0
+            found.append((at[fits], np.full(np.count_nonzero(fits), length), piece[fits]))
+            alive = goes_on & (at + length < limit[at])
+            at, node = at[alive], node[alive]
+        start, length, piece = (np.concatenate(column) for column in zip(*found, strict=True))
+        return Edges(word[start], begin[start], begin[start] + length, piece, letters)
+
+    def sums(self, edges: Edges, probabilities: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations of every prefix: (letters + 1, words, languages).
 
         All words take a step together: the sums up to one end need only the sums before it.
         """
-        found = [self.edges(word) for word in words]
-        edge = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64)
-        row = np.repeat(np.arange(len(words)), [len(x) for x in found])
-        end = edge >> END_SHIFT
-        order = np.lexsort((row, end))
-        edge, row, end = edge[order], row[order], end[order]
-        begin, piece = edge >> ID_BITS & PLACE, edge & ID
-        lengths = np.array([len(word) + 1 for word in words])
-        sums = np.zeros((lengths.max() + 1, len(words), probabilities.shape[1]))
-        sums[0] = 1.0
-        cuts = np.searchsorted(end, np.arange(1, lengths.max() + 2))
-        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), 1):
-            rows = row[a:b]
-            starts = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
-            sums[at, rows[starts]] = np.add.reduceat(sums[begin[a:b], rows] * probabilities[piece[a:b]], starts, axis=0)
-        return sums[lengths, np.arange(len(words))]
-
-    def expected(self, lattice, probability: list[float]):
-        """Expected uses of each piece in a word's segmentations, for one language."""
-        before, after = [1.0], [0.0] * len(lattice) + [1.0]
-        for begins, ids in lattice:
-            before.append(sum([before[b] * probability[i] for b, i in zip(begins, ids, strict=True)]))
-        for end in range(len(lattice), 0, -1):
-            begins, ids = lattice[end - 1]
-            share, rest = after[end] / before[-1], after[end]
-            for begin, piece in zip(begins, ids, strict=True):
-                yield piece, before[begin] * probability[piece] * share
-                after[begin] += probability[piece] * rest
+        out = np.zeros((edges.letters.max() + 1, len(edges.letters), probabilities.shape[1]))
+        out[0] = 1.0
+        order, cuts = edges.steps(edges.end)
+        word, begin, piece = edges.word[order], edges.begin[order], edges.piece[order]
+        for end in range(1, len(out)):
+            span = slice(cuts[end], cuts[end + 1])
+            rows, sums = _sums_by_word(out[begin[span], word[span]] * probabilities[piece[span]], word[span])
+            out[end, rows] = sums
+        return out
+
+    def forward(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
+        """Probability of every word, summed over all its segmentations: (words, languages)."""
+        edges = self.edges(words)
+        return self.sums(edges, probabilities)[edges.letters, np.arange(len(words))]
+
+    def expected(self, words: list[str], times: np.ndarray, probability: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in the words' segmentations, for one language."""
+        edges = self.edges(words)
+        before = self.sums(edges, probability[:, None])[:, :, 0]
+        after = np.zeros_like(before)
+        numbers = np.arange(len(words))
+        after[edges.letters, numbers] = times / before[edges.letters, numbers]
+        order, cuts = edges.steps(edges.begin)
+        word, begin, end, piece = (column[order] for column in (edges.word, edges.begin, edges.end, edges.piece))
+        for at in range(len(before) - 2, -1, -1):
+            span = slice(cuts[at], cuts[at + 1])
+            rows, sums = _sums_by_word(after[end[span], word[span]] * probability[piece[span]], word[span])
+            after[at, rows] = sums
+        return np.bincount(piece, before[begin, word] * probability[piece] * after[end, word], minlength=self.size + 1)
 
 
 @functools.lru_cache(maxsize=2)
@@ -168,7 +188,7 @@ class Languages:
             for first in range(0, len(fresh), SECTION):
                 part = fresh[first : first + SECTION]
                 at = len(place)
-                logs[at : at + len(part)] = np.log(pieces.forward_all(part, self.probabilities))
+                logs[at : at + len(part)] = np.log(pieces.forward(part, self.probabilities))
                 place.update(zip(part, range(at, at + len(part)), strict=True))
             rows = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
@@ -234,17 +254,16 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, rounds: int = ROUND
 
         def expect(batches, now=now):
             pieces = loaded(vocabulary)
-            sums = [dict[int, float]() for _ in names]
-            columns = now.T.tolist()
+            sums = np.zeros((pieces.size + 1, len(names)))
             for batch in batches:
-                for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    uses = sums[number[lang]]
-                    for piece, share in pieces.expected(pieces.lattice(word), columns[number[lang]]):
-                        uses[piece] = uses.get(piece, 0.0) + n * share
-            for language, uses in enumerate(sums):
-                uses.pop(pieces.size, None)
-                arrays = [pa.array(list(uses), pa.int32()), pa.array([language] * len(uses), pa.int32()), pa.array(list(uses.values()), pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["piece", "language", "uses"])
+                langs = np.array([number[lang] for lang in batch.column(0).to_pylist()])
+                words, times = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).to_numpy()
+                for language in np.unique(langs):
+                    own = langs == language
+                    sums[:, language] += pieces.expected(words[own].tolist(), times[own], now[:, language])
+            piece, language = np.nonzero(sums[: pieces.size])
+            arrays = [pa.array(piece, pa.int32()), pa.array(language, pa.int32()), pa.array(sums[piece, language], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["piece", "language", "uses"])
 
         uses = arrow_map(words, expect, "piece int, language int, uses double").groupBy("piece", "language").agg(F.sum("uses").alias("uses"))
         probabilities = np.full_like(now, SMOOTHING)

@@ -1,6 +1,7 @@
 """The operators against brute force, on whole small tables and on awkward rows."""
 
 import collections
+import functools
 import html
 import json
 import re
@@ -202,11 +203,21 @@ def test_language(spark, folder, odd, none):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
     pieces = language.Pieces()
     probability = np.full((pieces.size + 1, 1), 0.01)
-    ways = lambda w: 1.0 if not w else sum(0.01 * ways(w[n:]) for n in range(1, len(w) + 1) if w[:n] in pieces.ids)
-    assert pieces.forward(pieces.lattice("other"), probability)[-1, 0] == pytest.approx(ways("▁other"))
+
+    @functools.cache
+    def ways(w):
+        """Every segmentation of w, and how often each uses the piece "o": probability, uses."""
+        if not w:
+            return 1.0, 0.0
+        cuts = [(w[:n], ways(w[n:])) for n in range(1, len(w) + 1) if n == 1 or w[:n] in pieces.ids]
+        return sum(0.01 * p for _, (p, _) in cuts), sum(0.01 * (u + p * (first == "o")) for first, (p, u) in cuts)
+
     words = ["other", "x", "ꙮ", "straße", "日本語", "o" * 32, "an", "other"]
-    one_by_one = [pieces.forward(pieces.lattice(w), probability)[-1] for w in words]
-    assert np.allclose(pieces.forward_all(words, probability), one_by_one, rtol=1e-12, atol=0)
+    total = [ways("▁" + w)[0] for w in words]
+    assert np.allclose(pieces.forward(words, probability)[:, 0], total, rtol=1e-12, atol=0)
+    times = np.arange(1, len(words) + 1)
+    uses = sum(n * ways("▁" + w)[1] / p for w, n, p in zip(words, times, total, strict=True))
+    assert pieces.expected(words, times, probability[:, 0])[pieces.ids["o"]] == pytest.approx(uses)
     got = {r.doc_id: r.lang_pred for r in language.identify(odd).collect()}
     assert got[0] == got[1] == got[2] == got[13] == "und" and got[9] == "en"
     assert language.identify(none).count() == 0

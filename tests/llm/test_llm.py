@@ -278,6 +278,24 @@ def test_html(spark, folder):
     assert texts == {(1, "First & own text"): 1, (2, "Second"): 2, (3, ""): 1, (4, ""): 1, (5, "In\ntoo"): 1, (None, "ab <i>"): 1}
 
 
+def html_texts(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.n_chars == len(r.text) for r in got)
+    return {r.page_id: r.text for r in got}
+
+
+def test_html_large_host(spark):
+    # two pages of a large host share a template each, far fewer than its groups would bring together
+    n = 600
+    rows = [(i, "http://large/a", "".join(f"<div>{w} {i % n}</div>" for w in ("shop", "rights", "contact")) + f"<p>own {i}") for i in range(2 * n)]
+    assert 2 * n > 2 * html_text.PAGES
+    assert html_texts(spark, rows) == {i: f"own {i}" for i in range(2 * n)}
+    rows += [(None, "http://none/a", "<div>a</div><div>b</div><div>c</div><p>x"), (-1, "http://none/b", "<div>a</div><div>b</div><div>c</div><p>y")]
+    rows += [(-2, "http://other/b", "<div>a</div><div>b</div><div>c</div><article>z"), (-3, "http://other/c", "<div>a</div><div>b</div><div>c</div><p>v")]
+    got = html_texts(spark, rows[2 * n :])
+    assert got == {None: "x", -1: "y", -2: "z", -3: "v"}
+
+
 def test_pipeline(spark, folder, none):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -296,6 +296,17 @@ def test_html_large_host(spark):
     assert got == {None: "x", -1: "y", -2: "z", -3: "v"}
 
 
+def test_html_repeated_passages(spark):
+    notice = " ".join(f"notice{i}" for i in range(60))
+    rows = [(i, "http://one/a", f"<p>{notice}</p><div>own {i}</div>") for i in range(4)]  # one block
+    half = [" ".join(f"{w}{i}" for i in range(8)) for w in ("left", "right")]
+    rows += [(i, "http://two/a", f"<p>own {i}</p><p>{half[0]}<div>{half[1]}</div>") for i in range(10, 14)]  # two blocks
+    rows += [(i, "http://part/a", f"<p>before{i} {notice} after{i}</p><p>own {i}</p>") for i in range(20, 24)]  # part of a block
+    rows += [(30, "http://else/a", f"<p>{notice}</p>"), (31, "http://few/a", "<p>a b c d"), (32, "http://few/a", "<p>a b c d")]
+    want = {i: f"own {i}" for i in [*range(4), *range(10, 14)]} | {i: f"before{i} after{i}\nown {i}" for i in range(20, 24)}
+    assert html_texts(spark, rows) == want | {30: notice, 31: "a b c d", 32: "a b c d"}
+
+
 def test_pipeline(spark, folder, none):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{folder}/documents.parquet")

@@ -307,6 +307,22 @@ def test_html_repeated_passages(spark):
     assert html_texts(spark, rows) == want | {30: notice, 31: "a b c d", 32: "a b c d"}
 
 
+def test_html_class_names(spark):
+    kept = [
+        '<article class="post comments-open">{}</article>', '<main class="content page-with-sidebar">{}</main>',
+        '<div class="col no-sidebar"><article>{}</article></div>', '<div id="social-science"><article>{}</article></div>',
+        '<div class="sidebar widget"><main>{}</main></div>', '<article class="sponsored">{}</article>',
+        '<main><div class="widget"><article>{}</article></div></main>', '<div class="noSidebar">{}</div>',
+        '<article>{}<div class="comments"><article class="comment">no</article></div></article>',
+    ]
+    left = ['<div class="ad">{}</div>', '<div class="x user-comments">{}</div>', "<div id=siteFooter>{}</div>", '<ul role="navigation">{}</ul>']
+    left += ['<main><div class="comments"><article>{}</article></div>main</main>']
+    rows = [(i, f"http://h{i}/a", page.format(f"text {i}")) for i, page in enumerate(kept + left)]
+    got = html_texts(spark, rows)
+    assert [got[i] for i in range(len(kept))] == [f"text {i}" for i in range(len(kept))]
+    assert [got[i] for i in range(len(kept), len(rows))] == ["", "", "", "", "main"]
+
+
 def test_pipeline(spark, folder, none):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{folder}/documents.parquet")

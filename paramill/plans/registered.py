@@ -466,15 +466,13 @@ def _numeric_rows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def imputer_fill(spark, folder):
     rows = _numeric_rows(spark, folder)
-    imputer = imputation.ChainedImputer(n_estimators=3, max_depth=5, max_iter=1)
-    return imputer.fit(rows).transform(rows)
+    return imputation.ChainedImputer().fit(rows).transform(rows)
 
 
 @query
 def imputer_eval(spark, folder):
     rows = _numeric_rows(spark, folder)
-    imputer = imputation.ChainedImputer(estimator="linear", max_iter=2)
-    errors = imputation.evaluate_imputer(imputer, rows)
+    errors = imputation.evaluate_imputer(imputation.ChainedImputer(), rows)
     return spark.createDataFrame(
         [(c, e["MSE"], e["MAE"]) for c, e in errors.items()], "feature string, mse double, mae double"
     )
@@ -486,35 +484,40 @@ def _folded(spark: SparkSession, folder: str, folds: int) -> tuple[DataFrame, in
     return stage(folded, "folds", parallel=True), folds
 
 
-def _pipeline(model_type: str, **params) -> training.SupervisedPipeline:
-    return training.SupervisedPipeline(["quantity", "discount"], "price", model_type, params)
+def _pipeline(model_type: str) -> training.SupervisedPipeline:
+    return training.SupervisedPipeline(["quantity", "discount"], "price", model_type)
 
 
-def _oof(spark: SparkSession, folder: str, model_type: str, **params) -> DataFrame:
-    folded, folds = _folded(spark, folder, 3)
-    _, found = training.cross_validate(_pipeline(model_type, **params), folded, folds)
+def _oof(spark: SparkSession, folder: str, model_type: str) -> DataFrame:
+    folded, folds = _folded(spark, folder, 5)
+    _, found = training.cross_validate(_pipeline(model_type), folded, folds)
     return _row(spark, found)
 
 
 @query
 def rf_oof_metrics(spark, folder):
-    return _oof(spark, folder, training.RANDOM_FOREST, n_estimators=5, max_depth=5)
+    return _oof(spark, folder, training.RANDOM_FOREST)
 
 
 @query
 def gbt_oof_metrics(spark, folder):
-    return _oof(spark, folder, training.GRADIENT_BOOSTING, n_estimators=3, max_depth=3)
+    return _oof(spark, folder, training.GRADIENT_BOOSTING)
 
 
 @query
 def grid_search(spark, folder):
-    folded, folds = _folded(spark, folder, 3)
-    settings = [{"n_estimators": n, "max_depth": d} for n in (3, 5) for d in (2, 4)]
-    _, _, _, scores = training.grid_search(_pipeline(training.RANDOM_FOREST), folded, folds, settings)
-    return spark.createDataFrame(
-        [(s["n_estimators"], s["max_depth"], s["MSE"]) for s in scores],
-        "n_estimators int, max_depth int, mse double",
-    )
+    """Scores of both library grids."""
+    folded, folds = _folded(spark, folder, 5)
+    found = []
+    for model_type in training.GRIDS:
+        _, _, _, scores = training.grid_search(_pipeline(model_type), folded, folds)
+        found += [{"model_type": model_type, **s} for s in scores]
+    kinds = {
+        "model_type": "string", "n_estimators": "int", "max_depth": "int", "min_samples_leaf": "int",
+        "learning_rate": "double", "subsample": "double", "MSE": "double",
+    }
+    schema = ", ".join(f"{c.lower()} {kind}" for c, kind in kinds.items())
+    return spark.createDataFrame([tuple(s.get(c) for c in kinds) for s in found], schema)
 
 
 @query

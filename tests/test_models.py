@@ -107,3 +107,37 @@ def test_imputer_experiment(spark, gaps, tmp_path):
     assert meta["training_rows"] == 60 and model.features == ["长", "宽", "高"]
     with pytest.raises(ValueError):
         paramill.train_imputer(df.select("长", "same"), f"{tmp_path}/n")
+
+
+def test_model_queries_run_the_library_defaults(spark, folder, monkeypatch):
+    from paramill.plans.registered import REGISTRY
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def note(what, end=True):
+        def called(*args, **kwargs):
+            seen.append((what, args, kwargs))
+            if end:
+                raise Stop
+            return None, None, None, [{"n_estimators": 1, "MSE": 0.5}]
+
+        return called
+
+    monkeypatch.setattr(imputation.ChainedImputer, "fit", note("fit"))
+    monkeypatch.setattr(training, "cross_validate", note("oof"))
+    for name in ("imputer_fill", "imputer_eval", "rf_oof_metrics", "gbt_oof_metrics"):
+        with pytest.raises(Stop):
+            REGISTRY[name](spark, folder)
+    assert all(args[0] == imputation.ChainedImputer() for _, args, _ in seen[:2])
+    assert [(args[0].model_type, args[0].params, args[2]) for _, args, _ in seen[2:]] == [
+        (training.RANDOM_FOREST, {}, 5), (training.GRADIENT_BOOSTING, {}, 5),
+    ]
+    seen.clear()
+    monkeypatch.setattr(training, "grid_search", note("grid", end=False))
+    rows = REGISTRY["grid_search"](spark, folder).collect()
+    # three arguments: no settings of its own, so the library's grid
+    assert [(args[0].model_type, args[0].params, len(args), kwargs) for _, args, kwargs in seen] == [(m, {}, 3, {}) for m in training.GRIDS]
+    assert [(r.model_type, r.n_estimators, r.max_depth, r.mse) for r in rows] == [(m, 1, None, 0.5) for m in training.GRIDS]

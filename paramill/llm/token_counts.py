@@ -60,6 +60,7 @@ class PrefixCounter:
         self.compatible: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.pieces = _Memory(lambda piece: self.last(piece.encode())[1])
+        self.tables = _Memory(self._table)
         self.first = _Memory(self._chunk)
         self.spaced = _Memory(lambda chunk: self._chunk(" " + chunk))
 
@@ -113,6 +114,14 @@ class PrefixCounter:
                 break
         return counts
 
+    def _table(self, piece: str) -> np.ndarray:
+        """Token counts of a piece's prefixes from 1 byte on, each prefix as a text of its own."""
+        counts = self.piece(piece.encode())[1:]
+        if piece in CONTRACTIONS:
+            for n in range(1, len(counts)):
+                counts[n - 1] = self._chunk(piece[:n])
+        return np.array(counts, dtype=np.int32)
+
     def last(self, word: bytes) -> tuple[int, int]:
         """Last token and number of tokens of one piece: the entry of the table for the whole
         piece, with only those entries for shorter prefixes that it rests on."""
@@ -185,27 +194,29 @@ class PrefixCounter:
     def _prefixes(self, text: str, table: np.ndarray, base: int, at: int) -> tuple[int, int]:
         """Fill the table for a text without special strings behind ``base`` tokens, ``at`` bytes."""
         pieces = self.pattern.findall(text)
-        for i, piece in enumerate(pieces):
-            word = piece.encode()
-            counts = self.piece(word)
-            if piece in CONTRACTIONS:
-                for n in range(1, len(word)):
-                    counts[n] = self._chunk(piece[:n])
-            table[at + 1 : at + len(word) + 1] = base + np.array(counts[1:], dtype=np.int32)
-            if i and pieces[i - 1].isspace() and piece[0] == " " and not piece.isspace():
-                # a prefix that ends behind this space ends in white space, which is one piece
-                run = pieces[i - 1].encode()
-                table[at + 1] = base - self.piece(run)[-1] + self.piece(run + b" ")[-1]
-            elif i and pieces[i - 1].isspace() and piece.isspace():
-                run = (pieces[i - 1] + piece).encode()
-                counts = self.piece(run)[-len(word) :]
-                table[at + 1 : at + len(word) + 1] = base - self.piece(pieces[i - 1].encode())[-1] + np.array(counts)
-                base += self.piece(word)[-1]
-                at += len(word)
+        if not pieces:
+            return base, at
+        parts = [self.tables[piece] for piece in pieces]
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        joined = np.concatenate(parts)
+        ends = np.cumsum(lengths)
+        totals = np.cumsum(joined[ends - 1])  # tokens up to the end of each piece
+        before = base + totals - joined[ends - 1]
+        filled = table[at + 1 : at + len(joined) + 1]
+        filled[:] = joined + np.repeat(before, lengths)
+        for i in range(1, len(pieces)):
+            piece = pieces[i]
+            if not (piece[0].isspace() and pieces[i - 1].isspace()):
                 continue
-            base += counts[-1]
-            at += len(word)
-        return base, at
+            run, begin = pieces[i - 1].encode(), int(ends[i - 1])
+            behind = int(before[i]) - self.piece(run)[-1]
+            if piece.isspace():
+                n = int(lengths[i])
+                filled[begin : begin + n] = behind + np.array(self.piece(run + piece.encode())[-n:])
+            elif piece[0] == " ":
+                # a prefix that ends behind this space ends in white space, which is one piece
+                filled[begin] = behind + self.piece(run + b" ")[-1]
+        return base + int(totals[-1]), at + len(joined)
 
 
 class PrefixTable:
@@ -240,16 +251,16 @@ def counter(name: str = "byte_bpe_50k.json") -> PrefixCounter:
     return _shared[name]
 
 
-def token_counts(docs: DataFrame, limit: int = 1024, tables: bool = False, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit; with ``tables`` also the
-    stored prefix table (:class:`PrefixTable`)."""
+def token_counts(docs: DataFrame, limit: int = 1024, tables: bool = True, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit and, unless ``tables`` is off,
+    the stored prefix table (:class:`PrefixTable`), whose last entry is n_tokens."""
 
     def run(batches):
         count = counter(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if tables:
-                stored = [count.prefixes(t) for t in texts]
+                stored = [count.prefixes(t) for t in texts]  # at most ROWS_AT_ONCE texts
                 n = [int(s[-1]) for s in stored]
             else:
                 n = [count.count(t) for t in texts]

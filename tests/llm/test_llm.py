@@ -337,3 +337,10 @@ def test_pipeline(spark, folder, none):
     ends = collections.Counter(r.doc_id for r in rows if r.start + r.length == r.doc_tokens)
     assert ends == repeats and {r.doc_id for r in rows} == set(texts)
     assert json.dumps(sorted(texts)) and all(stage(spark, none, folder).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_token_tables_of_the_query(spark, folder):
+    rows = spark_entry.queries()["op5_token_counts"](spark, folder).limit(20).collect()
+    for r in rows:
+        table = token_counts.PrefixTable.load(bytes(r.prefixes))
+        assert len(table.counts) == r.n_bytes + 1 and table.at(r.n_bytes) == r.n_tokens and table.at(0) == 0

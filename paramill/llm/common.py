@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from paramill.session import shared_folder
 
@@ -19,8 +20,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words: space and the five control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows whose values a Python worker holds as objects at a time.
-ROWS_AT_ONCE = 512
+#: Rows and bytes whose values a Python worker holds as objects at a time (one row may be longer).
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 16 << 20
 
 _folders: dict[str, SparkSession] = {}
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
@@ -60,14 +61,22 @@ def ship(spark: SparkSession) -> None:
     _shipped[context.applicationId] = folder
 
 
-def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` that hands on at most ``ROWS_AT_ONCE`` rows at a time."""
+def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` that hands on at most ``ROWS_AT_ONCE`` rows and ``BYTES_AT_ONCE`` at a time."""
     ship(df.sparkSession)
 
     def sliced(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS_AT_ONCE):
-                yield batch.slice(first, ROWS_AT_ONCE)
+                yield from halved(batch.slice(first, ROWS_AT_ONCE))
+
+    def halved(batch):
+        if batch.num_rows < 2 or batch.nbytes <= BYTES_AT_ONCE:
+            yield batch
+            return
+        middle = batch.num_rows // 2
+        yield from halved(batch.slice(0, middle))
+        yield from halved(batch.slice(middle))
 
     return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
 

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paramill.llm import exact_dedup, html_text, jaccard_join, language, mixing, neighbours, packing, quality, token_counts, token_files
+from paramill.llm import (
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    html_text,
+    jaccard_join,
+    language,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    token_counts,
+    token_files,
+    vector_codes,
+)
 from paramill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +45,17 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": _documents(mixing.mix),
     "op9_token_files": _documents(token_files.token_file_digest),
     "op10_exact_dedup": _documents(exact_dedup.duplicates),
+    "op11_vector_codes": lambda spark, sf_dir: vector_codes.vector_codes(table(spark, sf_dir, "embeddings")),
+    "op12_filter_audit": lambda spark, sf_dir: filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op13_decontamination": lambda spark, sf_dir: decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ),
 }
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": jaccard_join.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_decontamination": decontamination.ORACLE,
+}

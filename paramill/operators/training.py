@@ -1,4 +1,7 @@
-"""Regression pipelines: impute, standardise, forest or boosted trees; validation and search."""
+"""Regression pipelines: impute, then a forest or boosted trees; validation and search.
+
+Trees split by order alone, so features are not standardised first: it would change no split.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,19 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paramill.operators.audit import _c
-from paramill.operators.imputation import ChainedImputer, ChainedImputerModel
+from paramill.operators.imputation import ChainedImputer, ChainedImputerModel, numbers_of
 from paramill.operators.metrics import regression_metrics, rmse_by_fold
 from paramill.operators.splits import FOLD
-from paramill.session import stage
+from paramill.operators.trees import Model, Spec, Table, fit_models, held_out_errors
+from paramill.session import drop_stage, ship, stage
 
 PREDICTION = "prediction"
 RANDOM_FOREST, GRADIENT_BOOSTING = "random_forest", "gradient_boosting"
@@ -44,7 +48,7 @@ GRIDS = {
         "subsample": [0.7, 0.8, 0.9],
     },
 }
-# deepest tree Spark grows; stands for "no limit"
+# stands for "no limit"
 DEEPEST = 30
 
 
@@ -57,37 +61,26 @@ class SupervisedPipeline:
     model_type: str = GRADIENT_BOOSTING
     params: dict = field(default_factory=dict)
     imputer: ChainedImputer = field(
-        default_factory=lambda: ChainedImputer(estimator="linear", initial_strategy="mean")
+        default_factory=lambda: ChainedImputer(estimator="bayesian_ridge", initial_strategy="mean")
     )
     seed: int = 42
 
-    def _regressor(self):
-        p = {**DEFAULTS[self.model_type], **self.params}
-        common = {
-            "featuresCol": "_scaled",
-            "labelCol": self.target,
-            "predictionCol": PREDICTION,
-            "maxDepth": p["max_depth"] or DEEPEST,
-            "minInstancesPerNode": p["min_samples_leaf"],
-            "seed": self.seed,
-        }
+    def spec(self, held: int | None = None, **more) -> Spec:
+        """The family of fits that these settings belong to."""
+        p = {**DEFAULTS[self.model_type], **self.params, **more}
+        marks = tuple(p.get("marks", ()))
+        depth = p["max_depth"] or DEEPEST
         if self.model_type == RANDOM_FOREST:
-            return RandomForestRegressor(numTrees=p["n_estimators"], **common)
-        return GBTRegressor(
-            maxIter=p["n_estimators"], stepSize=p["learning_rate"], subsamplingRate=p["subsample"], **common
+            return Spec(p["n_estimators"], depth, p["min_samples_leaf"], held=held, seed=self.seed, marks=marks, depths=tuple(p.get("depths", (depth,) if marks else ())))
+        return Spec(
+            p["n_estimators"], depth, p["min_samples_leaf"], p["learning_rate"], p["subsample"], held, self.seed, marks, (depth,) if marks else ()
         )
 
-    def _fit_trees(self, filled: DataFrame) -> PipelineModel:
-        stages = [
-            VectorAssembler(inputCols=self.features, outputCol="_inputs"),
-            StandardScaler(inputCol="_inputs", outputCol="_scaled", withMean=True),
-            self._regressor(),
-        ]
-        return Pipeline(stages=stages).fit(filled)
-
     def fit(self, df: DataFrame) -> SupervisedModel:
         imputer = self.imputer.fit(df, self.features)
-        model = self._fit_trees(imputer.transform(df.select(*[_c(c) for c in (*self.features, self.target)])))
+        table = Table(imputer.transform(df.select(*[_c(c) for c in (*self.features, self.target)])), self.features, self.target)
+        model = fit_models(table, [self.spec()])[0]
+        table.drop()
         return SupervisedModel(self.features, self.target, imputer, model)
 
 
@@ -96,19 +89,27 @@ class SupervisedModel:
     features: list[str]
     target: str
     imputer: ChainedImputerModel = field(repr=False)
-    model: PipelineModel = field(repr=False)
+    model: Model = field(repr=False)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with a prediction; its own columns pass unchanged."""
-        inputs = {f: f"_keep{i}" for i, f in enumerate(self.features) if f in df.columns}
-        kept = df.withColumns({k: _c(f) for f, k in inputs.items()}) if inputs else df
-        done = self.model.transform(self.imputer.transform(kept)).drop("_inputs", "_scaled")
-        columns = [F.col(inputs[c]).alias(c) if c in inputs else _c(c) for c in df.columns]
-        return done.select(*columns, PREDICTION)
+        """``df`` with a prediction; its own columns pass unchanged. One narrow pass over the rows."""
+        names = [c for c in df.columns if c != PREDICTION]
+        df = df.select(*[_c(c) for c in names])
+        at = {c: i for i, c in enumerate(names)}
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            own = shared.value
+            for batch in batches:
+                filled = own.imputer.filled(np.stack([numbers_of(batch, at.get(f)) for f in own.features]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.model.predict(filled))], names=[*names, PREDICTION])
+
+        ship(df.sparkSession)
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(PREDICTION, T.DoubleType())]))
 
     def save(self, spark: SparkSession, path: str, metadata: dict | None = None) -> None:
         self.imputer.save(spark, f"{path}/imputer")
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(spark, f"{path}/model")
         meta = {"features": self.features, "target": self.target, **(metadata or {})}
         write_json(spark, meta, f"{path}/metadata")
 
@@ -116,7 +117,7 @@ class SupervisedModel:
     def load(cls, spark: SparkSession, path: str) -> SupervisedModel:
         meta = read_json(spark, f"{path}/metadata")
         imputer = ChainedImputerModel.load(spark, f"{path}/imputer")
-        return cls(meta["features"], meta["target"], imputer, PipelineModel.load(f"{path}/model"))
+        return cls(meta["features"], meta["target"], imputer, Model.load(spark, f"{path}/model", meta["features"]))
 
 
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
@@ -128,15 +129,23 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def out_of_fold(pipeline: SupervisedPipeline, df: DataFrame, folds: int) -> DataFrame:
+def _together(spark: SparkSession, work, items: list, parallelism: int) -> list:
+    """``work`` of every item, some at a time from threads of the driver."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
+
+
+def out_of_fold(pipeline: SupervisedPipeline, df: DataFrame, folds: int, parallelism: int = 5) -> DataFrame:
     """Each row's prediction by the model that has not seen its fold."""
-    parts = []
-    for f in range(folds):
+
+    def part(f: int) -> DataFrame:
         model = pipeline.fit(df.where(F.col(FOLD) != f))
-        parts.append(model.predict(df.where(F.col(FOLD) == f)))
+        return model.predict(df.where(F.col(FOLD) == f).select(FOLD, _c(pipeline.target), *[_c(c) for c in pipeline.features]))
+
+    parts = _together(df.sparkSession, part, list(range(folds)), parallelism)
     out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    for more in parts[1:]:
+        out = out.unionByName(more)
     # staged: the metrics read the predictions several times
     return stage(out.select(FOLD, _c(pipeline.target), PREDICTION), "predictions")
 
@@ -145,7 +154,9 @@ def cross_validate(pipeline: SupervisedPipeline, df: DataFrame, folds: int) -> t
     """``(RMSE per fold, metrics of the pooled out-of-fold predictions)``."""
     predicted = out_of_fold(pipeline, df, folds)
     target, guess = _c(pipeline.target), F.col(PREDICTION)
-    return rmse_by_fold(predicted, target, guess), regression_metrics(predicted, target, guess)
+    found = rmse_by_fold(predicted, target, guess), regression_metrics(predicted, target, guess)
+    drop_stage(predicted)
+    return found
 
 
 def grid(model_type: str) -> list[dict]:
@@ -153,6 +164,17 @@ def grid(model_type: str) -> list[dict]:
     return [dict(zip(names, values, strict=True)) for values in itertools.product(*GRIDS[model_type].values())]
 
 
+def families(pipeline: SupervisedPipeline, settings: list[dict]) -> dict[tuple, list[dict]]:
+    """Settings that one fit answers together: those that differ in the number of trees and, in
+    forests, in depth."""
+    nested = ("n_estimators", "max_depth") if pipeline.model_type == RANDOM_FOREST else ("n_estimators",)
+    out: dict[tuple, list[dict]] = {}
+    for s in settings:
+        whole = {**DEFAULTS[pipeline.model_type], **pipeline.params, **s}
+        out.setdefault(tuple(sorted((k, v or 0) for k, v in whole.items() if k not in nested)), []).append(whole)
+    return out
+
+
 def grid_search(
     pipeline: SupervisedPipeline,
     df: DataFrame,
@@ -162,32 +184,37 @@ def grid_search(
 ) -> tuple[SupervisedModel, dict, float, list[dict]]:
     """Best setting by mean squared error over the folds, refitted on all rows.
 
-    Gives ``(model, best setting, sqrt of its mean MSE, all scores)``. The imputer has no
-    setting to search, so each fold is imputed once and staged for all settings.
+    Gives ``(model, best setting, sqrt of its mean MSE, all scores)``. The imputer has no setting
+    to search, so each fold is imputed and binned once for all settings, and settings that nest
+    share a fit. Folds without rows have no error and no say.
     """
     settings = settings if settings is not None else grid(pipeline.model_type)
-    columns = [_c(c) for c in (*pipeline.features, pipeline.target, FOLD)]
-    parts = []
-    for f in range(folds):
-        train = df.where(F.col(FOLD) != f).select(*columns)
-        imputer = pipeline.imputer.fit(train, pipeline.features)
-        test = df.where(F.col(FOLD) == f).select(*columns)
-        parts.append((stage(imputer.transform(train), "fold"), stage(imputer.transform(test), "fold")))
-
-    def score(setting: dict) -> float:
-        trial = SupervisedPipeline(
-            pipeline.features, pipeline.target, pipeline.model_type, {**pipeline.params, **setting},
-            pipeline.imputer, pipeline.seed,
-        )
-        errors = []
-        for train, test in parts:
-            error = _c(pipeline.target) - F.col(PREDICTION)
-            predicted = trial._fit_trees(train).transform(test)
-            errors.append(predicted.agg(F.avg(error * error)).first()[0])
-        return sum(errors) / len(errors)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        scores = list(pool.map(inheritable_thread_target(df.sparkSession)(score), settings))
+    own = families(pipeline, settings)
+
+    def errors(f: int) -> list[dict]:
+        columns = [_c(c) for c in (*pipeline.features, pipeline.target, FOLD)]
+        imputer = pipeline.imputer.fit(df.where(F.col(FOLD) != f), pipeline.features)
+        table = Table(imputer.transform(df.select(*columns)), pipeline.features, pipeline.target, fold=FOLD, held=f)
+        specs = []
+        for members in own.values():
+            sizes = sorted({m["n_estimators"] for m in members})
+            depths = sorted({m["max_depth"] or DEEPEST for m in members})
+            trial = SupervisedPipeline(pipeline.features, pipeline.target, pipeline.model_type, members[0], pipeline.imputer, pipeline.seed)
+            specs.append(trial.spec(f, n_estimators=sizes[-1], max_depth=depths[-1], marks=sizes, depths=depths))
+        found = held_out_errors(table, specs)
+        table.drop()
+        return found
+
+    per_fold = _together(df.sparkSession, errors, list(range(folds)), parallelism)
+    place = {id(m): i for i, members in enumerate(own.values()) for m in members}
+    scores = []
+    for s in settings:
+        whole = {**DEFAULTS[pipeline.model_type], **pipeline.params, **s}
+        member = next(m for members in own.values() for m in members if m == whole)
+        at = whole["n_estimators"], whole["max_depth"] or DEEPEST
+        parts = [found[place[id(member)]][at] for found in per_fold]
+        means = [e / n for e, n in parts if n]
+        scores.append(sum(means) / len(means))
     best = min(range(len(settings)), key=lambda i: scores[i])
     chosen = SupervisedPipeline(
         pipeline.features, pipeline.target, pipeline.model_type, {**pipeline.params, **settings[best]},

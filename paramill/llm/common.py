@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from paramill.session import shared_folder
+from paramill.session import shared_folder, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space between words: space and the five control characters from tab to carriage return.
@@ -24,7 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 16 << 20
 
 _folders: dict[str, SparkSession] = {}
-_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,21 +42,6 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's source, once per application, as ``--py-files`` would."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.TemporaryDirectory(prefix="paramill-source-")  # the driver serves the file while it runs
-    name = f"{folder.name}/paramill-source.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, str(path.relative_to(top.parent)))
-    context.addPyFile(name)
-    _shipped[context.applicationId] = folder
-
-
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` that hands on at most ``ROWS_AT_ONCE`` rows and ``BYTES_AT_ONCE`` at a time."""
     ship(df.sparkSession)

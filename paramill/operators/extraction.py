@@ -33,7 +33,7 @@ _UNIT_FACTS = {
     for u in v.UNIT_GROUP
 }
 
-# pages numbered together: bounds both windows of number_records, since ``page`` is an int
+# pages numbered together: bounds the windows of number_records in pages
 PAGE_BLOCK_BITS = 12
 
 
@@ -128,39 +128,44 @@ def match_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def number_records(records: DataFrame) -> DataFrame:
-    """Add ``record_id``: a running number per document over pages and mentions.
+def number_records(records: DataFrame, keep_copies: bool = True) -> DataFrame:
+    """Add ``record_id``: a running number per document over pages and mentions. Exact copies share
+    theirs, or come once without ``keep_copies``.
 
-    A document may hold a large share of all records, so its records are never gathered in
-    one task: records are numbered inside blocks of pages, and each block adds the number of
-    records before it. Both windows are bounded whatever the data: a block spans a fixed
-    number of pages and a document has at most 2^31 / block blocks.
+    A document may hold a large share of all records, so its records are never gathered in one
+    task. They are dealt once by (document, block of pages); copies drop out and records are
+    numbered within that partitioning, and the numbered records are written. A second look at three
+    narrow columns gives the records before each block, which the blocks then add. Pages may be any
+    whole numbers.
 
-    ``records`` is read twice; stage it first when it is costly.
+    Defined cases: records without a document or page come first in theirs and have an empty name
+    or page in their id; different records of the same page and mention are numbered in the order
+    of their content.
     """
-    block = F.shiftright(F.col("page"), PAGE_BLOCK_BITS)
-    records = records.withColumn("page_block", block)
+    keys = ["pdf_name", "page_block"]
+    rest = [c for c in records.columns if c not in ("pdf_name", "page", "mention")]
+    inside = Window.partitionBy(*keys).orderBy("page", "mention", *rest)
+    dealt = records.withColumn("page_block", F.shiftright(F.col("page").cast("bigint"), PAGE_BLOCK_BITS)).repartition(*keys)
+    once = dealt if keep_copies else dealt.distinct()
+    numbered = stage(once.withColumn("n_in_block", F.dense_rank().over(inside)), "records")
     ahead = Window.partitionBy("pdf_name").orderBy("page_block").rowsBetween(Window.unboundedPreceding, -1)
-    # exact copies of a page carry the same mentions; count each mention once
     before = (
-        records.groupBy("pdf_name", "page_block")
-        .agg(F.countDistinct("page", "mention").alias("n"))
-        .select("pdf_name", "page_block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_block"))
+        numbered.groupBy(*keys)
+        .agg(F.max("n_in_block").alias("n"))
+        .select(
+            F.col("pdf_name").alias("doc"), F.col("page_block").alias("block"),
+            F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_block"),
+        )
     )
-    inside = Window.partitionBy("pdf_name", "page_block").orderBy("page", "mention")
-    numbered = records.withColumn("n_in_block", F.dense_rank().over(inside))
     record_id = F.concat(
-        F.col("pdf_name"), F.lit(":p"), F.col("page").cast("string"), F.lit(":"),
+        F.coalesce("pdf_name", F.lit("")), F.lit(":p"), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(":"),
         (F.col("before_block") + F.col("n_in_block")).cast("string"),
     )
-    # the records are partitioned by the join keys already; left, so that none can be lost
-    return (
-        numbered.join(before, ["pdf_name", "page_block"], "left")
-        .withColumn("record_id", record_id)
-        .select(*DETAIL_COLUMNS)
-    )
+    same = F.col("pdf_name").eqNullSafe(F.col("doc")) & F.col("page_block").eqNullSafe(F.col("block"))
+    # left, so that none can be lost
+    return numbered.join(before, same, "left").withColumn("record_id", record_id).select(*DETAIL_COLUMNS)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Numbered detail records of all pages (matches are staged once, then numbered)."""
-    return number_records(stage(match_records(pages), "records"))
+def extract(pages: DataFrame, keep_copies: bool = True) -> DataFrame:
+    """Numbered detail records of all pages."""
+    return number_records(match_records(pages), keep_copies)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # values of one bracket that may be gathered in one task
-GATHER_LIMIT = 200_000
+GATHER_LIMIT = 20_000
 # bounds of the accuracy of the approximate pass: its rank error is 1 / accuracy of the rows
 MIN_ACCURACY, MAX_ACCURACY = 100, 10_000
 
@@ -34,6 +34,45 @@ class _Values:
         return self.parts[key]
 
 
+def select_hashes(hashes: DataFrame, ranks: Sequence[int], bits: int = 52, step: int = 12) -> list[int]:
+    """Exact k-th smallest values (ranks from 0) of the one column, hashes below 2 ** ``bits``.
+
+    Hashes are spread evenly, so counts of their leading digits bracket all ranks at once: one pass
+    over n hashes leaves about n / 4096 to each bracket, and a bracket whose least and greatest
+    hash agree is settled. Nothing is sorted or gathered.
+    """
+    column = F.col(hashes.columns[0])
+    found: dict[int, int] = {}
+    # rank -> (digits known so far, rank among the hashes that begin with them)
+    open_ = {r: (0, r) for r in ranks}
+    known = 0
+    while open_:
+        own = hashes
+        if known:
+            own = hashes.where(F.shiftright(column, bits - known).isin(sorted({p for p, _ in open_.values()})))
+        before, known = known, min(known + step, bits)
+        counted = own.groupBy(F.shiftright(column, bits - known).alias("p")).agg(
+            F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")
+        )
+        rows = sorted(counted.collect(), key=lambda r: r["p"])
+        following = {}
+        for rank, (prefix, inner) in open_.items():
+            for r in rows:
+                if r["p"] >> (known - before) != prefix:
+                    continue
+                if inner < r["n"]:
+                    if r["low"] == r["high"]:
+                        found[rank] = r["low"]
+                    else:
+                        following[rank] = (r["p"], inner)
+                    break
+                inner -= r["n"]
+            else:
+                raise ValueError(f"rank {rank} lies beyond the hashes")
+        open_ = following
+    return [found[r] for r in ranks]
+
+
 def select_ranks(df: DataFrame, targets: Sequence[tuple[Column, int, int]]) -> list[float]:
     """Exact k-th smallest values: one per target ``(numeric expression, count, rank from 0)``.
 

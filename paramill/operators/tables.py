@@ -19,17 +19,23 @@ def training_columns() -> list[str]:
     return sorted(names)
 
 
+def with_values(detail: DataFrame) -> DataFrame:
+    """Records without parameter or value dropped."""
+    return detail.dropna(subset=[c for c in ("parameter", "value") if c in detail.columns])
+
+
 def clean_detail(detail: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact copies once, records without parameter or value dropped.
 
+    Records that were numbered without their copies need no more than :func:`with_values`.
+
     A table that needs few columns names them: what identifies a record is kept beside them,
     and nothing else is compared or shuffled.
     """
     identity = ["record_id"] if "record_id" in detail.columns else ["pdf_name", "page", "mention"]
     if columns is not None:
         detail = detail.select(*dict.fromkeys([*identity, *columns]))
-    present = [c for c in ("parameter", "value") if c in detail.columns]
-    return detail.dropna(subset=present).distinct()
+    return with_values(detail).distinct()
 
 
 def is_accepted() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from paramill.operators.extraction import extract
 from paramill.operators.merge import merge_training
-from paramill.operators.tables import build_tables, clean_detail, run_counts
+from paramill.operators.tables import build_tables, run_counts, with_values
 from paramill.session import drop_stage, stage
 from paramill.sources.training import write_tables, write_training_csv
 
@@ -22,7 +22,7 @@ def extract_tables(
 
     The detail is staged once and feeds every table. Returns the row counts of the run.
     """
-    detail = stage(clean_detail(extract(pages)), "detail")
+    detail = stage(with_values(extract(pages, keep_copies=False)), "detail")
     if detail.isEmpty():
         raise ValueError("未提取到任何数据")
     tables = build_tables(detail)

@@ -75,13 +75,16 @@ _NUMBER = """CASE kind WHEN 'n' THEN CAST(1 + k % 40 AS VARCHAR) WHEN 'p' THEN p
 _FILL = len(FILLER)
 _COUNT = len(SENTENCES)
 
-MENTIONS = f"""WITH tpl(t, pre, kind, post, tail, raw_unit, alias, parameter, category, role, score, reason, factor, unit)
+
+
+def _mentions(rows: str, slots: str) -> str:
+    """Mentions and records of the pages of ``rows`` (k, c, p, pdf_name, page); ``slots`` says which
+    sentences a page holds."""
+    return f"""WITH tpl(t, pre, kind, post, tail, raw_unit, alias, parameter, category, role, score, reason, factor, unit)
  AS ({_templates()}),
-ord AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS p FROM orders),
-slots AS (SELECT k, c, p, 0 AS slot, k % {_COUNT} AS t FROM ord UNION ALL
- SELECT k, c, p, 1 AS slot, (k // {_COUNT} + c) % {_COUNT} AS t FROM ord),
-said AS (SELECT k, 'study_' || c || '.pdf' AS pdf_name, CAST(k + 1 AS INTEGER) AS page, slot, tpl.*, {_NUMBER} AS val
- FROM slots JOIN tpl USING (t)),
+ord AS ({rows}),
+slots AS ({slots}),
+said AS (SELECT k, pdf_name, page, slot, tpl.*, {_NUMBER} AS val FROM slots JOIN tpl USING (t)),
 texts AS (SELECT k, {lit(FILLER)} || string_agg(pre || val || post || {lit(FILLER)}, '' ORDER BY slot) AS text,
  max(CASE WHEN slot = 0 THEN length(pre || val || post) END) AS first_size FROM said GROUP BY k),
 spots AS (SELECT said.*, text, {_FILL} + length(pre) + CASE WHEN slot = 1 THEN first_size + {_FILL} ELSE 0 END AS start_at
@@ -99,6 +102,24 @@ d AS (SELECT pdf_name || ':p' || page || ':' || row_number() OVER (PARTITION BY
  AS quality_status, confidence, quality_reason, category, parameter, alias AS matched_alias,
  CAST(parsed AS DOUBLE) * factor AS value, unit, val AS raw_value, raw_unit, context FROM rec)
 """
+
+
+_ONE_SLOT = f"SELECT *, 0 AS slot, k % {_COUNT} AS t FROM ord"
+MENTIONS = _mentions(
+    "SELECT o_orderkey AS k, o_custkey AS c, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS p, "
+    "'study_' || o_custkey || '.pdf' AS pdf_name, o_orderkey + 1 AS page FROM orders",
+    f"{_ONE_SLOT} UNION ALL SELECT *, 1 AS slot, (k // {_COUNT} + c) % {_COUNT} AS t FROM ord",
+)
+ORACLES["extract_documents"] = _mentions(
+    "SELECT doc_id AS k, CAST(CAST(n_chars + 0.5 AS DECIMAL(14,2)) AS VARCHAR) AS p, 'doc_' || doc_id AS pdf_name, "
+    "1::BIGINT AS page FROM documents",
+    _ONE_SLOT,
+) + "SELECT * FROM d"
+ORACLES["extract_conversations"] = _mentions(
+    "SELECT conv_id * 10 + turn AS k, CAST(CAST(conv_id + 0.25 AS DECIMAL(14,2)) AS VARCHAR) AS p, "
+    "'conv_' || conv_id AS pdf_name, turn + 1 AS page FROM conversations",
+    _ONE_SLOT,
+) + "SELECT * FROM d"
 _ACCEPTED = "quality_status = 'accepted_candidate'"
 _AMBIGUOUS = f"(category = '{v.WATER_QUALITY}' AND water_role = 'unspecified')"
 
@@ -227,11 +248,19 @@ SELECT parameter, unit, value, distance, confidence, CASE WHEN confidence >= 0.7
 # --- merge, training rows, audit, cleaning ----------------------------------------------
 ORACLES["merge_upsert"] = """
 WITH i AS (SELECT *, 'study_' || l_suppkey || '.pdf' AS pdf_name FROM lineitem),
-o AS (SELECT pdf_name, count(*) AS a, sum(l_quantity) AS b FROM i WHERE l_linenumber <= 4 GROUP BY 1),
+o AS (SELECT pdf_name, count(*) AS a, sum(l_quantity) AS b FROM i WHERE l_linenumber <= 4 OR l_suppkey % 3 <> 0 GROUP BY 1),
 n AS (SELECT pdf_name, count(*) AS a, max(l_extendedprice) AS c FROM i WHERE l_linenumber > 4 AND l_suppkey % 3 = 0 GROUP BY 1)
 SELECT pdf_name, a, CAST(NULL AS DOUBLE) AS b, c FROM n UNION ALL
 SELECT pdf_name, a, b, NULL FROM o WHERE pdf_name NOT IN (SELECT pdf_name FROM n)"""
 
+ORACLES["merge_repeated_keys"] = """
+WITH i AS (SELECT *, row_number() OVER () AS place FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber % 2 = 0 AS newer, place, l_quantity AS a, l_extendedprice AS b,
+ CASE WHEN l_partkey % 5 <> 0 THEN l_discount END AS c FROM i),
+w AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY newer DESC, place DESC) AS back FROM r)
+SELECT 'study_' || l_orderkey || '.pdf' AS pdf_name, a, CASE WHEN NOT newer THEN b END AS b, CASE WHEN newer THEN c END AS c
+FROM w WHERE back = 1"""
+
 ROWS = """WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS source_id,
  CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS quantity,
  CASE WHEN l_orderkey % 97 = 0 THEN l_extendedprice * 50 ELSE l_extendedprice END AS price,
@@ -381,7 +410,8 @@ ORACLES["apply_defaults"] = DESIGNS + "SELECT design_id, " + ", ".join(
 ) + " FROM raw"
 _VALIDATED = DESIGNS + ", checked AS (SELECT *, {messages} AS errors FROM {source}) "
 ORACLES["validate_params"] = _VALIDATED.format(
-    messages=_messages(v.DESIGN_FIELDS[:4], _GIVEN), source="typed"
+    messages=_messages(v.DESIGN_FIELDS, _GIVEN),
+    source="(SELECT *, NULL::DOUBLE AS inlet_diameter, NULL::DOUBLE AS partition_thickness FROM typed)",
 ) + f"SELECT design_id, {_GIVEN_SQL}, note_number, note_text, errors, errors = '' AS is_valid FROM checked"
 # defaulted columns the table lacked come last
 _PREPARED = _VALIDATED.format(
@@ -461,3 +491,21 @@ ORACLES["impute_mask"] = f"""
 WITH o AS (SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_custkey % 7 <> 0),
 r AS (SELECT *, row_number() OVER (ORDER BY {_hash('o_orderkey')}) AS i, count(*) OVER () AS n FROM o)
 SELECT o_orderkey, price FROM r WHERE i <= greatest(1, round_even(n * 0.2, 0))"""
+
+# two predictors: the linear system and the trace of its inverse are written out
+ORACLES["bayesian_ridge"] = ROWS.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """,
+x AS (SELECT quantity AS a, discount AS b, price AS y FROM t WHERE quantity IS NOT NULL AND discount IS NOT NULL AND price IS NOT NULL),
+m AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb,
+ covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ya, covar_pop(b, y) * count(*) AS yb, var_pop(y) * count(*) AS yy FROM x),
+it AS (
+ SELECT 0 AS r, 1 / (yy / n + 2.220446049250313e-16) AS noise, 1.0::DOUBLE AS weight, NULL::DOUBLE AS ca, NULL::DOUBLE AS cb, false AS done FROM m
+ UNION ALL
+ SELECT r + 1, (n - g + 2e-6) / (greatest(yy - 2 * (ca1 * ya + cb1 * yb) + ca1 * ca1 * aa + 2 * ca1 * cb1 * ab + cb1 * cb1 * bb, 0) + 2e-6),
+  (g + 2e-6) / (ca1 * ca1 + cb1 * cb1 + 2e-6), ca1, cb1, coalesce(abs(ca1 - ca) + abs(cb1 - cb) < 1e-3, false)
+ FROM (SELECT *, 2 - weight * (p + q) / (p * q - s * s) AS g, noise * (q * ya - s * yb) / (p * q - s * s) AS ca1,
+   noise * (p * yb - s * ya) / (p * q - s * s) AS cb1
+  FROM (SELECT it.*, m.*, noise * aa + weight AS p, noise * bb + weight AS q, noise * ab AS s FROM it, m WHERE NOT done AND r < 300))),
+e AS (SELECT *, noise * aa + weight AS p, noise * bb + weight AS q, noise * ab AS s FROM it, m ORDER BY r DESC LIMIT 1),
+f AS (SELECT *, noise * (q * ya - s * yb) / (p * q - s * s) AS fa, noise * (p * yb - s * ya) / (p * q - s * s) AS fb FROM e)
+SELECT n::BIGINT AS "rows", round(fa, 4) AS quantity, round(fb, 2) AS discount, round(my - fa * ma - fb * mb, 2) AS intercept,
+ round(1 / sqrt(noise), 2) AS noise, round(1 / sqrt(weight), 2) AS spread, r::BIGINT AS rounds FROM f"""

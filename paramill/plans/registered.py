@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from paramill import vocabulary as v
 from paramill.functions import constraints, scoring, text
-from paramill.operators import audit, cleaning, extraction, imputation, merge, metrics, splits, tables, training
+from paramill.operators import audit, cleaning, extraction, imputation, merge, metrics, ridge, splits, tables, training
 from paramill.operators.audit import _c
 from paramill.plans import sample_inputs as inputs
-from paramill.session import shared_folder, stage
+from paramill.session import drop_stage, shared_folder, stage
 from paramill.sources import training as training_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,7 +165,7 @@ def score_candidates(spark, folder):
 
 @query
 def extract_detail(spark, folder):
-    return extraction.extract(_pages(spark, folder))
+    return extraction.extract(inputs.listed_pages(spark, folder), keep_copies=False)
 
 
 @query
@@ -177,12 +177,12 @@ def extract_summary(spark, folder):
 
 @query
 def extract_documents(spark, folder):
-    return extraction.extract(inputs.document_pages(spark, folder))
+    return extraction.extract(inputs.woven_documents(spark, folder))
 
 
 @query
 def extract_conversations(spark, folder):
-    return extraction.extract(inputs.conversation_pages(spark, folder))
+    return extraction.extract(inputs.woven_conversations(spark, folder))
 
 
 _TRAINING = ["pdf_name", "quality_status", "category", "water_role", "parameter", "value"]
@@ -210,7 +210,9 @@ def training_pivot(spark, folder):
 @query
 def run_counts(spark, folder):
     records = stage(_records(spark, folder, *_TRAINING), "records")
-    return tables.run_counts(records, tables.training_table(records, drop_empty=False))
+    counts = tables.run_counts(records, tables.training_table(records, drop_empty=False)).first().asDict()
+    drop_stage(records)
+    return _row(spark, counts)
 
 
 @query
@@ -220,6 +222,13 @@ def merge_upsert(spark, folder):
     return merged.select("pdf_name", "a", "b", "c")
 
 
+@query
+def merge_repeated_keys(spark, folder):
+    """Of a key's rows the last of the newer table wins, in the order of the files."""
+    old, new = inputs.repeated_keys(spark, folder)
+    return merge.merge_training(old, new, sequence=training_source.FILE_ORDER).select("pdf_name", "a", "b", "c")
+
+
 @query
 def training_csv(spark, folder):
     """Training table written as CSV and read back with inferred types."""
@@ -348,7 +357,7 @@ def apply_defaults(spark, folder):
 
 @query
 def validate_params(spark, folder):
-    return _flat(constraints.validate_designs(inputs.designs(spark, folder), v.DESIGN_FIELDS[:4], ["design_id"]))
+    return _flat(constraints.validate_designs(inputs.designs(spark, folder), v.DESIGN_FIELDS, ["design_id"]))
 
 
 @query
@@ -432,6 +441,7 @@ def baseline_rmse(spark, folder):
     folded, folds = splits.hash_folds(_closed_form(spark, folder), 5, SEED, "l_orderkey")
     folded = stage(folded.select("y", "fold"), "folds", parallel=True)
     rmse = metrics.median_baseline(folded, F.col("y"), folds)
+    drop_stage(folded)
     return spark.createDataFrame([(i, round(x, 4)) for i, x in enumerate(rmse)], "fold int, rmse double")
 
 
@@ -457,6 +467,26 @@ def impute_mask(spark, folder):
     return orders.where(hide).select("o_orderkey", "price")
 
 
+@query
+def bayesian_ridge(spark, folder):
+    """The default estimator of the pipelines' imputer: price from quantity and discount, known rows."""
+    rows = inputs.training_rows(spark, folder).select("quantity", "discount", "price").dropna()
+    (whole,) = ridge.pattern_moments(rows, rows.columns, [0.0] * 3, 1)
+    fit = ridge.bayesian_ridge(whole.moments)
+    return _row(
+        spark,
+        {
+            "rows": int(whole.rows),
+            "quantity": round(float(fit.coefficients[0]), 4),
+            "discount": round(float(fit.coefficients[1]), 2),
+            "intercept": round(fit.intercept, 2),
+            "noise": round(fit.noise_precision**-0.5, 2),
+            "spread": round(fit.weight_precision**-0.5, 2),
+            "rounds": fit.rounds,
+        },
+    )
+
+
 def _numeric_rows(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.training_rows(spark, folder).select(
         "quantity", F.col("price"), "discount"
@@ -491,6 +521,7 @@ def _pipeline(model_type: str) -> training.SupervisedPipeline:
 def _oof(spark: SparkSession, folder: str, model_type: str) -> DataFrame:
     folded, folds = _folded(spark, folder, 5)
     _, found = training.cross_validate(_pipeline(model_type), folded, folds)
+    drop_stage(folded)
     return _row(spark, found)
 
 
@@ -512,6 +543,7 @@ def grid_search(spark, folder):
     for model_type in training.GRIDS:
         _, _, _, scores = training.grid_search(_pipeline(model_type), folded, folds)
         found += [{"model_type": model_type, **s} for s in scores]
+    drop_stage(folded)
     kinds = {
         "model_type": "string", "n_estimators": "int", "max_depth": "int", "min_samples_leaf": "int",
         "learning_rate": "double", "subsample": "double", "MSE": "double",

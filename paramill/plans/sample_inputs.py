@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paramill.functions.text import sql_literal
 from paramill.session import spread
+from paramill.sources.training import FILE_ORDER, in_file_order
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,11 +73,46 @@ def report_pages(spark: SparkSession, folder: str) -> DataFrame:
     second = _sentence(f"(o_orderkey div {count} + o_custkey) % {count}")
     return _orders(spark, folder).selectExpr(
         "concat('study_', o_custkey, '.pdf') AS pdf_name",
-        "cast(o_orderkey + 1 AS int) AS page",
+        "o_orderkey + 1 AS page",
         f"concat({filler}, {first}, {filler}, {second}, {filler}) AS text",
     )
 
 
+def listed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The report pages as two overlapping lists of files give them: a third of the documents comes
+    twice, and there are pages without text."""
+    pages = report_pages(spark, folder)
+    again = pages.where("pmod(hash(pdf_name), 3) = 0")
+    blank = _orders(spark, folder).selectExpr("concat('study_', o_custkey, '.pdf') AS pdf_name", "-o_orderkey AS page", "cast(NULL AS string) AS text")
+    return pages.unionByName(again).unionByName(blank)
+
+
+def _woven(rows: DataFrame) -> DataFrame:
+    """pdf_name, page, text with a known sentence after each text; the sentence depends on
+    ``o_orderkey`` and ``o_totalprice`` of the row."""
+    filler = sql_literal(FILLER)
+    sentence = _sentence(f"o_orderkey % {len(SENTENCES)}")
+    return rows.selectExpr("pdf_name", "page", f"concat(coalesce(text, ''), '\\n\\n', {filler}, {sentence}, {filler}) AS text")
+
+
+def woven_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole given documents, each followed by a sentence of the report pages."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+    return _woven(
+        docs.selectExpr("concat('doc_', doc_id) AS pdf_name", "1L AS page", "text", "doc_id AS o_orderkey", "n_chars + 0.5D AS o_totalprice")
+    )
+
+
+def woven_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole given conversations, a page per turn, each turn followed by a sentence."""
+    return _woven(
+        table(spark, folder, "conversations").selectExpr(
+            "concat('conv_', conv_id) AS pdf_name", "turn + 1 AS page", "text", "conv_id * 10 + turn AS o_orderkey",
+            "conv_id + 0.25D AS o_totalprice",
+        )
+    )
+
+
 def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The given documents, one page each, whole texts."""
     return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
@@ -86,15 +122,6 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The given conversations: a document each, a page per turn."""
-    return table(spark, folder, "conversations").select(
-        F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("pdf_name"),
-        (F.col("turn") + 1).cast("int").alias("page"),
-        "text",
-    )
-
-
 def first_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The first sentence of every page with the place of its number."""
     which = f"o_orderkey % {len(SENTENCES)}"
@@ -150,10 +177,21 @@ def old_and_new_training(spark: SparkSession, folder: str) -> tuple[DataFrame, D
     items = table(spark, folder, "lineitem").withColumn(
         "pdf_name", F.concat(F.lit("study_"), F.col("l_suppkey").cast("string"), F.lit(".pdf"))
     )
-    old = items.where("l_linenumber <= 4").groupBy("pdf_name").agg(
+    old = items.where("l_linenumber <= 4 or l_suppkey % 3 <> 0").groupBy("pdf_name").agg(
         F.count("*").alias("a"), F.sum("l_quantity").alias("b")
     )
     new = items.where("l_linenumber > 4 and l_suppkey % 3 = 0").groupBy("pdf_name").agg(
         F.count("*").alias("a"), F.max("l_extendedprice").alias("c")
     )
     return old, new
+
+
+def repeated_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Two training tables with several rows per document, in the order in which the file has them."""
+    items = in_file_order(spark.read.parquet(f"{folder}/lineitem.parquet"))
+    rows = items.select(
+        F.concat(F.lit("study_"), F.col("l_orderkey").cast("string"), F.lit(".pdf")).alias("pdf_name"),
+        F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_discount")).alias("c"), FILE_ORDER,
+    )
+    return rows.where("line % 2 = 1").drop("line", "c"), rows.where("line % 2 = 0").drop("line", "b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}
+_shipping = threading.Lock()
 
 
 def local_session(cpus: int | str = 8, app: str = "paramill", **settings: str) -> SparkSession:
@@ -96,13 +98,14 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's source, once per application, as ``--py-files`` would."""
     context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parent
-    folder = tempfile.TemporaryDirectory(prefix="paramill-source-")  # the driver serves the file while it runs
-    name = f"{folder.name}/paramill-source.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, str(path.relative_to(top.parent)))
-    context.addPyFile(name)
-    _shipped[context.applicationId] = folder
+    with _shipping:  # several threads of the driver may fit models
+        if context.applicationId in _shipped:
+            return
+        top = Path(__file__).resolve().parent
+        folder = tempfile.TemporaryDirectory(prefix="paramill-source-")  # the driver serves the file while it runs
+        name = f"{folder.name}/paramill-source.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for path in sorted(top.rglob("*.py")):
+                z.write(path, str(path.relative_to(top.parent)))
+        context.addPyFile(name)
+        _shipped[context.applicationId] = folder

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,19 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of every file below ``path``: ``(path, bytes, sha256)``."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+#: Column of :func:`in_file_order`.
+FILE_ORDER = "file_order"
+
+
+def in_file_order(scan: DataFrame) -> DataFrame:
+    """A plain file scan with ``file_order``, which sorts its rows as the files have them: by file,
+    then by the place within it. Parquet tells a row's number; in other files it is the split's
+    start and the order within the split."""
+    where = [F.col("_metadata.file_path").alias("file")]
+    try:
+        return scan.select("*", F.struct(*where, F.col("_metadata.row_index").alias("row")).alias(FILE_ORDER))
+    except AnalysisException:
+        place = [F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+        return scan.select("*", F.struct(*where, *place).alias(FILE_ORDER))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paramill.operators.extraction import extract
 from paramill.operators.merge import merge_training
-from paramill.operators.tables import clean_detail, training_table
+from paramill.operators.tables import training_table, with_values
 from paramill.session import drop_stage, stage
 from paramill.sources.pages import PAGE_SCHEMA
 
@@ -41,7 +41,7 @@ def apply_batch(pages: DataFrame, batch: int, folder: str) -> None:
     and overwrites its own.
     """
     spark = pages.sparkSession
-    detail = stage(clean_detail(extract(pages)), "batch")
+    detail = stage(with_values(extract(pages, keep_copies=False)), "batch")
     detail.write.mode("overwrite").parquet(f"{folder}/detail/batch={batch:010d}")
     new = training_table(detail)
     existing = current_training(spark, folder, before=batch)

@@ -174,3 +174,23 @@ def test_words_and_categories(one):
     assert one(text.classify_text(F.col("c")), c="reed beds in a warm season") == "植物参数"
     assert one(text.classify_text(F.col("c")), c="nothing") == "其他参数"
     assert one(text.category_of(F.col("c")), c="nothing") == "其他参数"
+
+
+def test_copies_blanks_and_long_page_numbers(spark):
+    kinds = "pdf_name string, page long, text string"
+    far = 5_000_000_000
+    rows = [("a.pdf", far + i, f"Influent COD was {i + 1} mg/L. Effluent COD was {i + 2} mg/L.") for i in range(3)]
+    rows += [rows[1]] * 3 + [("a.pdf", -9000, "Influent COD was 9 mg/L."), ("a.pdf", 1, None), ("b.pdf", None, "Influent TN was 4 mg/L.")]
+    rows += [(None, 2, "Influent TN was 5 mg/L."), (None, 2, "Influent TN was 5 mg/L."), ("c.pdf", 1, "HRT was 2 d."), ("c.pdf", 1, "HRT was 3 d.")]
+    df = spark.createDataFrame(rows, kinds)
+    want = ["a.pdf:p-9000:1", *[f"a.pdf:p{far + i // 2}:{i + 2}" for i in range(6)], "b.pdf:p:1", ":p2:1", "c.pdf:p1:1", "c.pdf:p1:2"]
+    assert sorted(r.record_id for r in extraction.extract(df, keep_copies=False).collect()) == sorted(want)
+    assert extraction.extract(df).count() == len(want) + 7 and extraction.extract(df.limit(0)).count() == 0
+
+
+def test_records_are_dealt_once(spark, folder):
+    from paramill.plans.sample_inputs import listed_pages
+
+    records = extraction.match_records(listed_pages(spark, folder))
+    plan = records.repartition("pdf_name", "page").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(pdf_name") == 1 and "Exchange hashpartitioning(pdf_name" in plan

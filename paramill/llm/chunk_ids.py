@@ -14,7 +14,7 @@ import re
 import struct
 
 #: Remembered chunks and pieces per Python worker, and the longest ones worth remembering.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LONGEST = 48
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -65,6 +65,8 @@ class ChunkIds:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        if chunk.isascii() and chunk.isalpha():  # one piece of the pattern
+            return self.pieces[chunk.lower()]
         if (chunk.isascii() or max(chunk) < "Ā") and "<|" not in chunk:
             return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk.lower())))
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids

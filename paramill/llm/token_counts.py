@@ -19,6 +19,7 @@ are counted each. Further columns are ignored.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 
 import numpy as np
@@ -35,6 +36,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 class PrefixCounter:
     def __init__(self, name: str = "byte_bpe_50k.json"):
+        import ahocorasick
         import public_tokenizers
         import regex
 
@@ -45,6 +47,10 @@ class PrefixCounter:
         ids = spec["model"]["vocab"]
         self.vocabulary = {raw[token]: i for token, i in ids.items()}
         self.longest = max(map(len, self.vocabulary))
+        self.ending = ahocorasick.Automaton()
+        for token, i in self.vocabulary.items():
+            self.ending.add_word(token.decode("latin-1"), (len(token), i))
+        self.ending.make_automaton()
         self.merge_rank: dict[tuple[int, int], int] = {}
         halves: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -96,31 +102,34 @@ class PrefixCounter:
         return known
 
     def piece(self, word: bytes) -> list[int]:
-        """Token counts of all prefixes of one piece of the pattern, from 0 bytes to all."""
-        counts, last = [0], [-1]
-        find, longest, fits, compatible = self.vocabulary.get, self.longest, self._fits, self.compatible
-        for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = find(word[begin:end])
-                if token is None:
+        """Token counts of all prefixes of one piece of the pattern, from 0 bytes to all.
+
+        The automaton names, at every byte, the tokens that end there, the longest first; the first
+        one that fits behind the tokens of the prefix before it is the last token of this prefix.
+        """
+        counts, last, done = [0] * (len(word) + 1), [-1] * (len(word) + 1), 0
+        fits, known = self._fits, self.compatible.get
+        for at, (size, token) in self.ending.iter(word.decode("latin-1")):
+            if at < done:
+                continue
+            begin = at + 1 - size
+            before = last[begin]
+            if before >= 0:
+                fit = known(before << 17 | token)
+                if not (fits(before, token) if fit is None else fit):
                     continue
-                before = last[begin]
-                if before >= 0:
-                    fit = compatible.get(before << 17 | token)
-                    if not (fits(before, token) if fit is None else fit):
-                        continue
-                counts.append(counts[begin] + 1)
-                last.append(token)
-                break
+            done = at + 1
+            counts[done], last[done] = counts[begin] + 1, token
         return counts
 
-    def _table(self, piece: str) -> np.ndarray:
-        """Token counts of a piece's prefixes from 1 byte on, each prefix as a text of its own."""
+    def _table(self, piece: str) -> bytes:
+        """Token counts of a piece's prefixes from 1 byte on, each prefix as a text of its own; four
+        bytes per count."""
         counts = self.piece(piece.encode())[1:]
         if piece in CONTRACTIONS:
             for n in range(1, len(counts)):
                 counts[n - 1] = self._chunk(piece[:n])
-        return np.array(counts, dtype=np.int32)
+        return struct.pack(f"={len(counts)}i", *counts)
 
     def last(self, word: bytes) -> tuple[int, int]:
         """Last token and number of tokens of one piece: the entry of the table for the whole
@@ -197,16 +206,16 @@ class PrefixCounter:
         if not pieces:
             return base, at
         parts = [self.tables[piece] for piece in pieces]
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        joined = np.concatenate(parts)
+        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        joined = np.frombuffer(b"".join(parts), dtype=np.int32)
         ends = np.cumsum(lengths)
         totals = np.cumsum(joined[ends - 1])  # tokens up to the end of each piece
         before = base + totals - joined[ends - 1]
         filled = table[at + 1 : at + len(joined) + 1]
         filled[:] = joined + np.repeat(before, lengths)
-        for i in range(1, len(pieces)):
+        for i in [i for i, piece in enumerate(pieces[:-1], 1) if piece.isspace()]:
             piece = pieces[i]
-            if not (piece[0].isspace() and pieces[i - 1].isspace()):
+            if not piece[0].isspace():
                 continue
             run, begin = pieces[i - 1].encode(), int(ends[i - 1])
             behind = int(before[i]) - self.piece(run)[-1]

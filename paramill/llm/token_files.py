@@ -33,8 +33,8 @@ MAGIC = b"RPAIRv1\0"
 VOCABULARY = 49_408
 #: Ids that a block gathers before it is closed; a document is never split over blocks.
 BLOCK_IDS = 1 << 20
-#: Replacement rounds, pairs replaced in a round, and the least occurrences that make a rule.
-ROUNDS, PAIRS, LEAST = 4, 1024, 12
+#: Pairs replaced at a time, and the least occurrences that make a rule (a rule takes eight bytes).
+PAIRS, LEAST = 4096, 12
 BIN_BITS = 18
 BLOCK = "shard int, block int, n_docs long, n_ids long, blob binary"
 DOC = "shard int, block int, place long, doc_id long, start_in_block long, n_tokens long, ids_crc32 long"
@@ -58,15 +58,22 @@ def _frequent(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (pairs, in order of their symbols) and which symbols end a document."""
+    """Symbols, rules (pairs, in order of their symbols) and which symbols end a document.
+
+    Goes on until no pair is frequent enough or the symbols of two bytes are used up.
+    """
     symbols, rules, next_symbol = ids.astype(np.uint16), [], VOCABULARY
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1 and next_symbol < 1 << 16:
         codes = symbols[:-1].astype(np.uint32) << np.uint32(16) | symbols[1:]
         chosen, at, which = _frequent(codes, ~ends[:-1])
-        if not len(chosen) or next_symbol + len(chosen) > 1 << 16:
+        if not len(chosen):
             break
+        if next_symbol + len(chosen) > 1 << 16:  # the most frequent ones that there are symbols for
+            most = np.sort(np.argsort(-np.bincount(which), kind="stable")[: (1 << 16) - next_symbol])
+            place = np.full(len(chosen), -1)
+            place[most] = np.arange(len(most))
+            inside = place[which] >= 0
+            chosen, at, which = chosen[most], at[inside], place[which[inside]]
         # of pairs that overlap, the first, third, ... of the run are replaced
         order = np.arange(len(at))
         new_run = np.concatenate([[True], np.diff(at) != 1])
@@ -83,6 +90,14 @@ def repair(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return symbols.astype("<u2"), pairs.astype("<u2"), ends
 
 
+def rule_lengths(rules: np.ndarray) -> np.ndarray:
+    """How many ids every rule stands for; a rule's parts come before it."""
+    out: list[int] = []
+    for left, right in rules.astype(np.int64).tolist():
+        out.append((1 if left < VOCABULARY else out[left - VOCABULARY]) + (1 if right < VOCABULARY else out[right - VOCABULARY]))
+    return np.array(out, dtype=np.int64)
+
+
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids that every symbol stands for, laid end to end; where each begins; how long each is."""
     parts = [np.arange(VOCABULARY, dtype=np.uint32)]
@@ -145,7 +160,7 @@ class Block:
         ends[id_starts[1:] - 1] = True  # no document is without its end id
         symbols, rules, ends = repair(ids, ends)
         symbol_starts = np.concatenate([[0], np.nonzero(ends)[0] + 1])
-        lengths_of = expansions(rules)[2][VOCABULARY:]
+        lengths_of = rule_lengths(rules)
         nulls = np.array([d is None for d in doc_ids], dtype="u1")
         parts = (
             np.array([d or 0 for d in doc_ids], dtype="<i8"), nulls, symbol_starts.astype("<u8"), id_starts.astype("<u8"),

@@ -37,6 +37,16 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no name of theirs can clash with a helper's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def unfolded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a :func:`whole_row` called ``row``."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """True for rows that are never learnt from: crc32 of the id's text has that remainder."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))

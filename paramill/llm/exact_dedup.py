@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paramill.llm.common import arrow_map, forget, lower_ascii, whole_text, written
+from paramill.llm.common import arrow_map, forget, lower_ascii, unfolded, whole_row, whole_text, written
 
 CAPACITY = 1 << 20
 #: Bytes of text that a reading task holds before it passes its collapsed entries on.
@@ -164,13 +164,19 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    names = docs.columns
-    kept = duplicates(docs, capacity).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(lower_ascii(whole_text()).cast("binary"), 256)
-    same = docs.withColumn("_sha_of_text", sha)
-    joined = same.join(kept, (F.col("_sha_of_text") == F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates(["_sha_of_text", "doc_id"]).select(*names)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of equal texts (null is empty) the row with the largest doc_id; of rows that share that as well,
+    the one with the least hash of its content. Rows travel as one struct, whatever their columns
+    are called.
+    """
+    stays = duplicates(docs, capacity).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = docs.select(
+        whole_row(docs).alias("row"), F.sha2(lower_ascii(whole_text()).cast("binary"), 256).alias("sha"), F.col("doc_id").cast("long").alias("id")
+    )
+    same = (F.col("sha") == F.col("kept_sha")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    one = rows.join(stays, same, "left_semi").groupBy("sha", "id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return unfolded(one, docs.columns)
 
 
 ORACLE = """

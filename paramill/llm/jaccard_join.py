@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramill.llm.common import arrow_map, ship, whole_text, written
+from paramill.llm.common import arrow_map, ship, unfolded, whole_row, whole_text, written
 from paramill.llm.components import components
 from paramill.llm.shingles import CODE_BITS, set_key, shingle_codes
 
@@ -326,10 +326,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component (its least doc_id), with all columns."""
-    names = docs.columns
-    kept = near_duplicates(docs).filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*names)
+    """The rows of ``docs`` that stay, one document of each component (its least doc_id), with all
+    columns.
+
+    Rows that share a doc_id are one document and stay together if any of them stays; rows without a
+    doc_id, and texts without words, link with nothing and stay. Rows travel as one struct, whatever
+    their columns are called.
+    """
+    stays = near_duplicates(docs).filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return unfolded(rows.join(stays, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi"), docs.columns)
 
 
 ORACLE = r"""

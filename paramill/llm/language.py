@@ -20,16 +20,17 @@ are scored each. Further columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paramill.llm.common import arrow_map, forget, held_out, written
+from paramill.llm.common import arrow_map, forget, held_out, unfolded, whole_row, written
 
 #: Labelled documents per language that are learnt from, at most, and rounds over them.
 PER_LANGUAGE, ROUNDS = 400, 2
@@ -42,7 +43,8 @@ REMEMBERED, SECTION, WORDS_AT_ONCE = 200_000, 4096, 1 << 16
 #: Bits of a letter's code point.
 LETTER_BITS = 21
 UNDECIDED = "und"
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that belong to them.
+_WORDS = regex.compile(r"(?:\p{L}\p{M}*)+")
 
 
 def words_of(text: str) -> list[str]:
@@ -286,8 +288,19 @@ def identify(docs: DataFrame, model: Languages | None = None) -> DataFrame:
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language could be told, with all their columns.
 
-    Rejected: no letter, or no language with a probability of at least ``least``.
+    Rejected: no letter (so null and empty texts), or no language with a probability of at least
+    ``least``. Every row is judged by its own text, also among rows that share a doc_id. One narrow
+    pass: rows travel as one struct, whatever their columns are called.
     """
-    names = docs.columns
-    found = identify(docs).filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least)).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*names)
+    model = learn(docs)
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def keep(batches):
+        for batch in batches:
+            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_()), batch.column(1)], names=["doc_id", "held_out", "text"])
+            told = next(iter(model.score(iter([asked]))))
+            known = [p != UNDECIDED and s >= least for p, s in zip(told.column(2).to_pylist(), told.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(known, pa.bool_()))
+
+    out = arrow_map(rows, keep, T.StructType([T.StructField("row", docs.schema)]))
+    return unfolded(out, docs.columns)

@@ -23,13 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paramill.llm.common import WORD, forget, written
+from paramill.llm.common import WORD, forget, unfolded, whole_row, written
 
 #: Weights of sources in code point order, repeating; share of all words that the mix takes;
 #: most times a document, and so a source, is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Newton iterations at most, and the residual, as a share of the source, at which they end.
-ITERATIONS, ENOUGH = 40, 1e-6
+ITERATIONS, ENOUGH = 200, 1e-6
 #: Hash blocks among the documents of one source and size.
 BLOCKS = 4096
 
@@ -169,15 +169,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
-    names = docs.columns
-    keys = ("_doc", "_source", "_size")
-    each = mix(docs).groupBy(F.col("doc_id").alias("m_doc"), F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-    each = each.agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": _size()})
-    numbered = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    same = F.col("_doc").eqNullSafe(F.col("m_doc")) & F.col("_source").eqNullSafe(F.col("m_source")) & (F.col("_size") == F.col("m_size"))
-    upto = lambda i: F.floor(F.col("m_copies") * i / F.col("m_rows"))
-    copies = (upto(F.col("_row")) - upto(F.col("_row") - 1)).cast("int")
-    taken = numbered.join(each, same).withColumn("_copies", copies).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns.
+
+    Rows that agree in doc_id, source and size share the copies that :func:`mix` gives them, in the
+    order of a hash of their content, so reruns agree; equal rows are interchangeable. Rows travel as
+    one struct, whatever their columns are called.
+    """
+    keys = ("id", "source", "size")
+    each = mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"))
+    each = each.agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    keyed = docs.select(
+        whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), _size().alias("size")
+    )
+    numbered = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"))))
+    same = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("size") == F.col("mix_size"))
+    upto = lambda i: F.floor(F.col("copies") * i / F.col("rows"))
+    own = (upto(F.col("place")) - upto(F.col("place") - 1)).cast("int")
+    taken = numbered.join(each, same).withColumn("own", own).filter("own > 0")
+    return unfolded(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))), docs.columns)

@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a
 DataFrame; it is written as Parquet and read again as the next stage's docs. All but the last
 return the columns of documents.
+
+All stages take empty tables, repeated rows, nulls in any column and further columns of any name,
+which pass unchanged.
 """
 
 from __future__ import annotations
@@ -14,27 +17,35 @@ from paramill.llm.common import table, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents whose language can be told stay; null and empty texts and texts without a letter go.
+
+    Every row is judged by its own text, also among rows that share a doc_id.
+    """
     return language.identified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id stays; of rows that
+    share that too, one by its content."""
     return exact_dedup.without_duplicates(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join the one with the least doc_id stays."""
+    """Of documents that links join the one with the least doc_id stays.
+
+    Rows that share a doc_id are one document; texts without words and rows without a doc_id stay.
+    """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row as often as the mix of sources takes it, which may be never."""
+    """Every row as often as the mix of sources takes it, which may be never; a null source is a source,
+    and texts without words weigh nothing."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+    """One row per piece of a document in a sequence; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 

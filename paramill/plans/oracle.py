@@ -168,6 +168,12 @@ ORACLES["keyword_occurrences"] = _FIRST + (
 ORACLES["classify_text"] = _FIRST + (
     f"SELECT k AS o_orderkey, coalesce(category, '{v.OTHER_CATEGORY}') AS category FROM f"
 )
+# in a sentence no role word comes twice
+_ROLE_WORDS = [(a, r) for r, names in v.ROLES.items() for a in names]
+ORACLES["role_occurrences"] = _FIRST + (
+    f", w(word, which) AS ({values(_ROLE_WORDS)}) SELECT k AS o_orderkey, which AS role, "
+    "CAST(strpos(lower(sentence), word) - 1 AS INTEGER) AS position FROM f JOIN w ON contains(lower(sentence), word)"
+)
 _ANY_ROLE = (
     "CASE WHEN t IN (0, 4, 10) THEN 'influent' WHEN t IN (1, 7, 12) THEN 'effluent' WHEN t = 14 THEN 'removal' "
     "ELSE 'unspecified' END"

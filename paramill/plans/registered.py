@@ -79,6 +79,12 @@ def keyword_occurrences(spark, folder):
     return found.select("o_orderkey", "o.parameter", F.col("o.name").alias("alias"), "o.position")
 
 
+@query
+def role_occurrences(spark, folder):
+    found = inputs.first_sentences(spark, folder).select("o_orderkey", F.explode(text.role_occurrences(F.col("text"))).alias("o"))
+    return found.select("o_orderkey", "o.role", "o.position")
+
+
 @query
 def nearest_keyword(spark, folder):
     rows = inputs.first_sentences(spark, folder)

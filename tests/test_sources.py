@@ -52,3 +52,27 @@ def test_incremental_extraction(spark, tmp_path):
     # a batch that runs again gives the same version
     apply_batch(spark.createDataFrame([("a", 1, "Influent COD 9 mg/L, length 3 m")], PAGES), 1, out)
     assert current_training(spark, out).count() == 2
+
+
+def test_a_batch_touches_its_own_buckets(spark, tmp_path):
+    from paramill.streaming import incremental
+
+    out = str(tmp_path)
+    pages = lambda rows: spark.createDataFrame(rows, PAGES)
+    apply_batch(pages([(f"d{i}", 1, f"Influent COD was {i + 1} mg/L.") for i in range(300)]), 0, out)
+    first = incremental.buckets_of(spark, out, 0)
+    assert len(first) > 100 and set(first) <= set(range(incremental.BUCKETS))
+    for batch in (1, 2, 3):
+        apply_batch(pages([("d7", 1, f"Influent COD was {100 + batch} mg/L."), (f"new{batch}", 1, "HRT was 2 d.")]), batch, out)
+        now = incremental.buckets_of(spark, out, batch)
+        changed = [b for b in now if now[b] != incremental.buckets_of(spark, out, batch - 1).get(b)]
+        assert 1 <= len(changed) <= 2
+        names = {p.name for p in (tmp_path / "training" / f"batch={batch:010d}").iterdir() if p.is_dir()}
+        assert len(names) == len(changed)  # files written follow the batch
+    rows = {r["pdf_name"]: r.asDict() for r in current_training(spark, out).collect()}
+    assert len(rows) == 303 and rows["d7"]["COD__influent"] == 103.0 and rows["d8"]["COD__influent"] == 9.0 and rows["new1"]["水力停留时间"] == 48.0
+    assert {r["pdf_name"]: r["COD__influent"] for r in current_training(spark, out, before=3).collect()}["d7"] == 102.0
+    d7 = next(b for b in incremental.buckets_of(spark, out, 3) if incremental.buckets_of(spark, out, 2)[b] != incremental.buckets_of(spark, out, 1)[b])
+    assert d7 is not None and not (tmp_path / "training" / first[next(b for b in first if first[b] not in incremental.buckets_of(spark, out, 1).values())]).exists()
+    apply_batch(pages([("d7", 1, "Influent COD was 103 mg/L."), ("new3", 1, "HRT was 2 d.")]), 3, out)  # again, as after a cut
+    assert current_training(spark, out).count() == 303

@@ -94,3 +94,20 @@ def test_outliers(spark):
     assert cleaning.remove_outliers(flat, "zscore", 3.0, columns=["c"]).count() == 1
     assert cleaning.drop_constant_columns(flat).columns == ["z"]
     assert cleaning.drop_all_null_rows(df.where("x is null").drop("y"), ["x"]).count() == 0
+
+
+def test_fingerprints_count_what_grouping_counts(spark):
+    import datetime
+    import decimal
+
+    kinds = "a double, b string, c string, d timestamp, e binary, f array<int>, g decimal(10,2), h boolean"
+    when = datetime.datetime(2024, 10, 27, 2, 30)
+    row = (1.5, "x", "y", when, b"q", [1, None], decimal.Decimal("1.50"), True)
+    rows = [row, row, (None,) * 8, (None,) * 8, (0.0, "", None, *row[3:]), (-0.0, "", None, *row[3:]), (0.0, None, "", *row[3:])]
+    rows += [(1.5, "x:1", "y", *row[3:]), (1.5, "x", ":1y", *row[3:]), (float("nan"), *row[1:]), (None, *row[1:]), (1.5, "x", "y", when, b"Q", [1], *row[6:])]
+    df = spark.createDataFrame(rows, kinds)
+    from paramill.operators.audit import duplicate_rows, nan_to_null
+
+    clean = nan_to_null(df)
+    assert duplicate_rows(df).first()[0] == clean.count() - clean.distinct().count() == 4
+    assert duplicate_rows(df.limit(0)).first()[0] == 0

@@ -77,7 +77,7 @@ def train_imputer(
     data = load_dataset(df, min_non_na_ratio, remove_outliers_flag, require_reviewed)
     frame = drop_constant_columns(data.numeric())
     if len(frame.columns) < 2 or frame.isEmpty():
-        raise ValueError("用于 Imputer 训练的数据不足：至少需要 1 行和 2 个数值特征")
+        raise ValueError("an imputer needs rows with two numeric columns or more that vary")
     frame = stage(frame, "training", parallel=True)
     imputer = ChainedImputer(
         n_estimators=n_estimators, max_iter=max_iter, initial_strategy=initial_strategy

@@ -24,7 +24,7 @@ def extract_tables(
     """
     detail = stage(with_values(extract(pages, keep_copies=False)), "detail")
     if detail.isEmpty():
-        raise ValueError("未提取到任何数据")
+        raise ValueError("the pages hold no mention of a known parameter")
     tables = build_tables(detail)
     if existing is not None:
         tables["training"] = merge_training(existing, tables["training"], sequence=sequence)

@@ -21,9 +21,9 @@ def pages_from_text(spark: SparkSession, folder: str, pattern: str = "*") -> Dat
     It is an error if the folder or matching files are missing.
     """
     if not path_exists(spark, folder):
-        raise FileNotFoundError(f"输入文件夹不存在：{folder}")
+        raise FileNotFoundError(f"no folder {folder}")
     if not path_exists(spark, f"{folder}/{pattern}"):
-        raise FileNotFoundError(f"未找到文件：{folder}")
+        raise FileNotFoundError(f"nothing in {folder} is called {pattern}")
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
     pages = files.select(
         F.col("_metadata.file_name").alias("pdf_name"), F.posexplode(F.split("value", "\f", -1)).alias("n", "text")

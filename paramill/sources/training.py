@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paramill import vocabulary as v
 from paramill.functions.scoring import parse_number
 from paramill.operators.audit import _c
+from paramill.sources.csv_records import read_csv_text
 from paramill.sources.pages import path_exists
 
 # --- fixed values: texts that mean a missing value --------------------------------------
@@ -21,12 +22,12 @@ MISSING_TEXTS = [
 
 
 def read_training_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with a header. Missing texts become null.
+    """A CSV with a header, read by as many tasks as it has splits. Missing texts become null.
 
     A column is numeric if every present value is a number, which one aggregate over all
     columns settles; give ``schema`` to skip that scan.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
+    raw = read_csv_text(spark, path)
     text = raw.select(*[F.when(~_c(c).isin(MISSING_TEXTS), _c(c)).alias(c) for c in raw.columns])
     if schema is not None:
         fields = spark.createDataFrame([], schema).schema.fields
@@ -47,7 +48,7 @@ def read_existing_training(spark: SparkSession, path: str, file_format: str = "p
     A first column with one of a few usual names is taken for the document name.
     """
     if not path_exists(spark, path):
-        warnings.warn(f"合并文件未找到：{path}", stacklevel=2)
+        warnings.warn(f"nothing to merge with at {path}", stacklevel=2)
         return None
     df = read_training_csv(spark, path) if file_format == "csv" else spark.read.format(file_format).load(path)
     return name_source(df)

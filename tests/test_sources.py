@@ -76,3 +76,37 @@ def test_a_batch_touches_its_own_buckets(spark, tmp_path):
     assert d7 is not None and not (tmp_path / "training" / first[next(b for b in first if first[b] not in incremental.buckets_of(spark, out, 1).values())]).exists()
     apply_batch(pages([("d7", 1, "Influent COD was 103 mg/L."), ("new3", 1, "HRT was 2 d.")]), 3, out)  # again, as after a cut
     assert current_training(spark, out).count() == 303
+
+
+def test_csv_records_over_many_splits(spark, tmp_path):
+    import csv
+    import random
+
+    from paramill.sources.csv_records import csv_records, ends_inside, read_csv_text
+
+    assert [ends_inside(x, i) for x in ('a,b', '"a', 'a"b,c', 'x","y"', '""', '"""', '"a""', 'b" tail,"c') for i in (False, True)] == [
+        False, True, True, False, False, False, False, False, False, True, True, False, True, False, True, True,
+    ]
+    rng = random.Random(5)
+    cells = ["", "plain", "a,b", 'say "hi"', "two\nlines", '"\n"', "\n\n", ",\n,", "x" * 90, "line,\n\"quoted\",\nagain", "é中"]
+    rows = [[str(i), *(rng.choice(cells) for _ in range(3))] for i in range(400)]
+    rows[100][1] = "long\n" * 300  # lies over many splits
+    path = tmp_path / "many.csv"
+    with path.open("w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "a", "b,c", "d"], *rows])
+    serial = spark.read.csv(str(path), header=True, multiLine=True, escape='"', encoding="UTF-8")
+    want = sorted(tuple(r) for r in serial.collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("300", "4000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            if size == "300":
+                assert csv_records(spark, str(path)).count() == 401
+            got = read_csv_text(spark, str(path))
+            assert got.columns == serial.columns and sorted(tuple(r) for r in got.collect()) == want
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(want) == 400 and [r[1] for r in want if r[0] == "100"] == [rows[100][1]]

@@ -35,6 +35,8 @@ RANGE_FACTOR, RANGE_POWER = 4.0, 0.6
 #: Vectors whose keys place the ranges, at most (about; drawn by a hash of the vector).
 SAMPLE = 20_000
 QUERY_STEP, NEAREST = 50, 5
+#: How far rounding can move a cosine, amply; pairs summed at a time.
+ROUNDING, SECTION = 1e-9, 1 << 16
 PAIR = "query_group long, group long, score double"
 
 
@@ -120,6 +122,30 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.filter(F.size("vector") == (lengths["length"] if lengths else -1))
 
 
+def best_pairs(units: np.ndarray, groups: np.ndarray, queries: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(query, row, score) of each query's ``n`` best rows; of equal scores the smaller group wins.
+
+    The product of matrices only tells what can be among them: everything that reaches the n-th
+    score, or comes as near as rounding allows, is summed in one fixed order, so that equal vectors
+    score equally everywhere.
+    """
+    parts = []
+    for first in range(0, len(queries), 256):
+        some = queries[first : first + 256]
+        rough = units[some] @ units[rows].T
+        least = np.partition(rough, len(rows) - n, axis=1)[:, len(rows) - n]
+        q, c = np.nonzero(rough >= least[:, None] - ROUNDING)
+        score = np.concatenate(
+            [(units[some[q[i : i + SECTION]]] * units[rows[c[i : i + SECTION]]]).sum(axis=1) for i in range(0, len(q), SECTION)]
+        )
+        order = np.lexsort((groups[rows[c]], -score, q))
+        q, c, score = q[order], c[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        kept = place < n
+        parts.append((some[q[kept]], rows[c[kept]], score[kept]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _search(k: int):
     def run(key, table):
         table = table.combine_chunks()
@@ -130,14 +156,8 @@ def _search(k: int):
         n = min(k + 1, len(rows))
         found = [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)]
         if n and len(queries):
-            parts = []
-            for first in range(0, len(queries), 256):
-                some = queries[first : first + 256]
-                near = np.argpartition(-(units[some] @ units[rows].T), n - 1, axis=1)[:, :n]
-                q, c = np.repeat(some, n), rows[near.ravel()]
-                # summed in one fixed order, so that equal vectors score equally everywhere
-                parts.append((groups[q], groups[c], (units[q] * units[c]).sum(axis=1)))
-            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            q, c, score = best_pairs(units, groups, queries, rows, n)
+            found = [groups[q], groups[c], score]
         return pa.table(dict(zip(("query_group", "group", "score"), found, strict=True)))
 
     return run

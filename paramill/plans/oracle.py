@@ -134,7 +134,7 @@ ORACLES["context_window"] = MENTIONS + (
     "SELECT pdf_name, page, CAST(slot AS INTEGER) AS mention, substr(text, left_at + 1, right_at - left_at) AS context, "
     "CAST(start_at - left_at AS INTEGER) AS value_pos FROM m"
 )
-ORACLES["extract_detail"] = MENTIONS + "SELECT * FROM d"
+ORACLES["extract_detail"] = ORACLES["extract_listed_twice"] = MENTIONS + "SELECT * FROM d"
 ORACLES["extract_summary"] = MENTIONS + (
     f"SELECT pdf_name, quality_status, category, parameter, unit, count(*) AS {v.SUMMARY_COUNT} FROM d GROUP BY ALL"
 )

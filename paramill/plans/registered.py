@@ -171,6 +171,12 @@ def score_candidates(spark, folder):
 
 @query
 def extract_detail(spark, folder):
+    return extraction.extract(_pages(spark, folder), keep_copies=False)
+
+
+@query
+def extract_listed_twice(spark, folder):
+    """The same records where documents are listed twice and pages without text lie between."""
     return extraction.extract(inputs.listed_pages(spark, folder), keep_copies=False)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from paramill import vocabulary as v
 from paramill.functions import constraints, scoring, text
 from paramill.operators import audit, cleaning, extraction, imputation, merge, metrics, ridge, splits, tables, training
 from paramill.operators.audit import _c
+from paramill.plans import experiments
 from paramill.plans import sample_inputs as inputs
 from paramill.session import drop_stage, shared_folder, stage
 from paramill.sources import training as training_source
@@ -564,6 +566,40 @@ def grid_search(spark, folder):
     return spark.createDataFrame([tuple(s.get(c) for c in kinds) for s in found], schema)
 
 
+@query
+def supervised_experiment(spark, folder):
+    """The whole training run with its default model: folds by source, holdout, baseline, audit, saved model."""
+    rows = inputs.training_rows(spark, folder).select("source_id", "quantity", "price", "discount", "quality_status", "review_status")
+    path = f"{shared_folder(spark)}/supervised-{uuid.uuid4().hex}"
+    found = experiments.train_supervised(rows, "price", path)
+    held = found["group_holdout"]
+    return _row(
+        spark,
+        {
+            "strategy": found["validation_strategy"],
+            "folds": found["n_splits"],
+            "cv_rmse": found["cv_rmse"]["value"],
+            "cv_rmse_std": found["cv_rmse"]["std"],
+            "oof_rmse": found["validation_metrics"]["RMSE"],
+            "baseline_rmse": found["baseline"]["rmse_mean"],
+            "improvement": found["baseline"]["model_improvement_ratio"],
+            "holdout_rmse": held["metrics"]["RMSE"],
+            "train_sources": held["train_source_count"],
+            "test_sources": held["test_source_count"],
+            "rows_audited": found["data_audit"]["rows"],
+        },
+    )
+
+
+@query
+def complete_designs(spark, folder):
+    """Designs whose missing numbers an imputer fills before defaults and checks."""
+    raw = inputs.designs(spark, folder)
+    numbers = raw.select(*[scoring.parse_number(_c(n)).alias(n) for n in ("长", "宽", "高", "water_depth", "水力停留时间")])
+    model = imputation.ChainedImputer(estimator="bayesian_ridge", initial_strategy="mean").fit(numbers)
+    return _flat(constraints.prepare_designs(raw, ["design_id"], model))
+
+
 @query
 def file_hash(spark, folder):
     hashes = training_source.file_hashes(spark, f"{folder}/*.parquet")

@@ -1,7 +1,7 @@
 import pytest
 from oracle_check import compare, connect, spark_entry
 
-FAST_ROWS_ONLY = ["file_hash"]
+FAST_ROWS_ONLY = ["file_hash", "complete_designs"]
 
 
 @pytest.fixture(scope="module")

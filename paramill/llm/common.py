@@ -69,7 +69,11 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
         yield from halved(batch.slice(0, middle))
         yield from halved(batch.slice(middle))
 
-    return df.mapInArrow(lambda batches: work(sliced(batches)), schema)
+    def run(batches):
+        yield from work(sliced(batches))
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    return df.mapInArrow(run, schema)
 
 
 def scratch_folder(spark: SparkSession) -> str:

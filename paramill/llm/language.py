@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 from collections import defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,9 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from paramill.llm.common import arrow_map, forget, held_out, unfolded, whole_row, written
+from paramill.llm.common import ROWS_AT_ONCE, arrow_map, forget, held_out, ship, written
 
 #: Labelled documents per language that are learnt from, at most, and rounds over them.
 PER_LANGUAGE, ROUNDS = 400, 2
@@ -290,17 +290,21 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Rejected: no letter (so null and empty texts), or no language with a probability of at least
     ``least``. Every row is judged by its own text, also among rows that share a doc_id. One narrow
-    pass: rows travel as one struct, whatever their columns are called.
+    pass: the text alone goes to Python, the other columns stay where they are.
     """
     model = learn(docs)
-    rows = docs.select(whole_row(docs).alias("row"), F.col("text").cast("string").alias("text"))
-
-    def keep(batches):
-        for batch in batches:
-            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_()), batch.column(1)], names=["doc_id", "held_out", "text"])
-            told = next(iter(model.score(iter([asked]))))
-            known = [p != UNDECIDED and s >= least for p, s in zip(told.column(2).to_pylist(), told.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(known, pa.bool_()))
-
-    out = arrow_map(rows, keep, T.StructType([T.StructField("row", docs.schema)]))
-    return unfolded(out, docs.columns)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            answers = []
+            for first in range(0, len(array), ROWS_AT_ONCE):
+                part = array.slice(first, ROWS_AT_ONCE)
+                asked = pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.bool_()), part], names=["doc_id", "held_out", "text"])
+                found = next(iter(model.score(iter([asked]))))
+                answers += [p != UNDECIDED and s >= least for p, s in zip(found.column(2).to_pylist(), found.column(3).to_pylist(), strict=True)]
+            yield pa.array(answers, pa.bool_())
+            pa.default_memory_pool().release_unused()
+
+    return docs.filter(told(F.col("text").cast("string")))

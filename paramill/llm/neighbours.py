@@ -30,8 +30,9 @@ from paramill.llm.common import arrow_map, ship, written
 
 #: Orderings, directions and grid bits of each, bits of the hash that ends a key.
 ORDERINGS, DIRECTIONS, BITS, TIE_BITS = 16, 8, 6, 15
-#: Rows of a key range: this many times the number of vectors to this power.
-RANGE_FACTOR, RANGE_POWER = 4.0, 0.6
+#: Rows of a key range: this many times the number of vectors to this power, but no more than one in
+#: so many vectors, so that 16 orderings of three ranges meet less than the table, and no fewer than the last.
+RANGE_FACTOR, RANGE_POWER, RANGES, LEAST_ROWS = 4.0, 0.6, 50, 64
 #: Vectors whose keys place the ranges, at most (about; drawn by a hash of the vector).
 SAMPLE = 20_000
 QUERY_STEP, NEAREST = 50, 5
@@ -41,7 +42,7 @@ PAIR = "query_group long, group long, score double"
 
 
 def block_rows(n: int) -> int:
-    return max(32, math.ceil(RANGE_FACTOR * n**RANGE_POWER))
+    return max(LEAST_ROWS, min(n // RANGES, math.ceil(RANGE_FACTOR * n**RANGE_POWER)))
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -163,8 +164,12 @@ def _search(k: int):
     return run
 
 
-def nearest(embeddings: DataFrame, step: int = QUERY_STEP, k: int = NEAREST) -> DataFrame:
-    """For every row whose vec_id ``step`` divides, its k nearest: query_id, rank, vec_id, score."""
+def nearest(embeddings: DataFrame, step: int = QUERY_STEP, k: int = NEAREST, range_rows: int | None = None) -> DataFrame:
+    """For every row whose vec_id ``step`` divides, its k nearest: query_id, rank, vec_id, score.
+
+    ``range_rows`` replaces the size of a key range. Vectors in clusters are found in ranges of a few
+    dozen; the default suits vectors without any structure.
+    """
     rows = usable(embeddings).distinct()
     asks = F.col("vec_id") % step == 0
     smallest = Window.partitionBy("vector").orderBy("vec_id")
@@ -175,7 +180,7 @@ def nearest(embeddings: DataFrame, step: int = QUERY_STEP, k: int = NEAREST) ->
     n = groups.count()
     shape = groups.select(F.size("vector").alias("length")).first()
     orderings = Orderings(shape["length"] if shape else 1)
-    blocks = max(1, n // block_rows(n))
+    blocks = max(1, n // (range_rows or block_rows(n)))
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = F.pmod(F.xxhash64(F.lit("drawn"), "vector"), F.lit(1 << 20)) < int(share * (1 << 20))
     sample = groups.filter(drawn).select("vector", F.xxhash64("vector").alias("tie")).toArrow()

@@ -6,8 +6,9 @@ The probabilities are learnt from labelled documents by expectation maximisation
 word by word, how often each piece is expected in the segmentations, and adds up over all words in
 Spark. Every document is scored as a whole; workers remember the scores of words they have met.
 
-Words are runs of letters, lower-cased, runs above 32 letters cut there. A letter outside the
-vocabulary is a piece of one small probability in every language.
+Words are whole runs of letters, lower-cased, however long. Those above 32 letters are summed in
+logarithms, slice by slice. A letter outside the vocabulary is a piece of one small probability in
+every language.
 
 Learning uses at most ``PER_LANGUAGE`` documents of each language, drawn by a hash of doc_id, from
 rows with text and lang outside the held-out fold.
@@ -35,7 +36,9 @@ from paramill.llm.common import ROWS_AT_ONCE, arrow_map, forget, held_out, ship,
 #: Labelled documents per language that are learnt from, at most, and rounds over them.
 PER_LANGUAGE, ROUNDS = 400, 2
 FOLDS, HELD_OUT = 3, 1
-LONGEST = 32
+#: Letters up to which a word's probabilities fit a double; letters of longer words that are cut into
+#: pieces together, letters of words held together, and letters of words that a task remembers, at most.
+SHORT, SLICE, LETTERS_AT_ONCE, LETTERS_REMEMBERED = 32, 4096, 1 << 18, 1 << 23
 #: Probability of a letter outside the vocabulary, and pseudo-count of every piece.
 UNKNOWN, SMOOTHING = 1e-8, 0.05
 #: Words whose scores a task remembers, words of a text summed together, and words looked up together.
@@ -48,10 +51,7 @@ _WORDS = regex.compile(r"(?:\p{L}\p{M}*)+")
 
 
 def words_of(text: str) -> list[str]:
-    found = _WORDS.findall(text.lower())
-    if found and max(map(len, found)) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return _WORDS.findall(text.lower())
 
 
 class Edges(NamedTuple):
@@ -75,6 +75,27 @@ def _sums_by_word(values: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.
     return word[starts], np.add.reduceat(values, starts, axis=0) if len(word) else values
 
 
+def _log_sums_by_word(values: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for logarithms."""
+    starts = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
+    top = np.maximum.reduceat(values, starts, axis=0)
+    sums = np.add.reduceat(np.exp(values - np.repeat(top, np.diff(np.append(starts, len(word))), axis=0)), starts, axis=0)
+    return word[starts], top + np.log(sums)
+
+
+def _by_length(words: list[str]):
+    """Short words' places first, then sections of longer ones, of similar length and bounded together."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    yield np.nonzero(lengths <= SHORT)[0]
+    longer = np.nonzero(lengths > SHORT)[0]
+    longer = longer[np.argsort(lengths[longer], kind="stable")]
+    first = 0
+    for at in range(1, len(longer) + 1):
+        if at == len(longer) or (at + 1 - first) * lengths[longer[at]] > LETTERS_AT_ONCE:
+            yield longer[first:at]
+            first = at
+
+
 class Pieces:
     """The vocabulary: pieces without control and byte entries, by their letters."""
 
@@ -95,15 +116,20 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], order + 1
         self.piece_of = np.array([self.ids.get(text, -1) for text in nodes], dtype=np.int64)
+        self.longest = max(map(len, self.ids))
 
     def edges(self, words: list[str]) -> Edges:
-        """All pieces in the marked words; a letter that is no piece has an edge of its own.
+        """All pieces in the marked words."""
+        return self.edges_of(["▁" + word for word in words])
+
+    def edges_of(self, marked: list[str]) -> Edges:
+        """All pieces in words that have their marks; a letter that is no piece has an edge of its own.
 
         All places take a step together, to the node of one more letter, while pieces go on.
         """
-        letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        codes = np.frombuffer(("▁" + "▁".join(words)).encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        word = np.repeat(np.arange(len(words)), letters)
+        letters = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        codes = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(marked)), letters)
         last = np.cumsum(letters)
         begin = np.arange(len(codes)) - (last - letters)[word]
         limit = last[word]
@@ -146,8 +172,88 @@ class Pieces:
         edges = self.edges(words)
         return self.sums(edges, probabilities)[edges.letters, np.arange(len(words))]
 
+    def slices(self, marked: list[str], backwards: bool = False):
+        """The edges of long words by slices of their letters: bounds, then word, begin, end and piece.
+
+        Forwards a slice has the edges that end in it, sorted by end; backwards those that begin in it,
+        sorted by begin; both then by word.
+        """
+        lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+        firsts = range(0, int(lengths.max()), SLICE)
+        for a in reversed(firsts) if backwards else firsts:
+            b = min(a + SLICE, int(lengths.max()))
+            low, high = (a, b + self.longest) if backwards else (max(0, a - self.longest), b)
+            there = np.nonzero(lengths > low)[0]
+            edges = self.edges_of([marked[i][low:high] for i in there])
+            word, begin, end = there[edges.word], edges.begin + low, edges.end + low
+            inside = np.nonzero(begin < b if backwards else end > a)[0]
+            order = inside[np.lexsort((word[inside], (begin if backwards else end)[inside]))]
+            yield a, b, word[order], begin[order], end[order], edges.piece[order]
+
+    def logs(self, words: list[str], probabilities: np.ndarray) -> np.ndarray:
+        """Logarithms of the words' probabilities, for words of any length: (words, languages)."""
+        out = np.zeros((len(words), probabilities.shape[1]))
+        short, *longer = _by_length(words)
+        if len(short):
+            out[short] = np.log(self.forward([words[i] for i in short], probabilities))
+        for some in longer:
+            out[some] = self.long_logs([words[i] for i in some], np.log(probabilities))
+        return out
+
+    def long_logs(self, words: list[str], logs: np.ndarray) -> np.ndarray:
+        """The forward algorithm in logarithms; only as many ends are held as a piece is long."""
+        marked = ["▁" + word for word in words]
+        ending = defaultdict(list)
+        for i, word in enumerate(marked):
+            ending[len(word)].append(i)
+        held = self.longest + 1
+        sums = np.full((held, len(words), logs.shape[1]), -np.inf)
+        sums[0] = 0.0
+        out = np.zeros((len(words), logs.shape[1]))
+        for a, b, word, begin, end, piece in self.slices(marked):
+            cuts = np.searchsorted(end, np.arange(a + 1, b + 2))
+            for at in range(a + 1, b + 1):
+                span = slice(cuts[at - a - 1], cuts[at - a])
+                rows, found = _log_sums_by_word(sums[begin[span] % held, word[span]] + logs[piece[span]], word[span])
+                sums[at % held] = -np.inf
+                sums[at % held, rows] = found
+                if at in ending:
+                    out[ending[at]] = sums[at % held, ending[at]]
+        return out
+
+    def long_expected(self, words: list[str], times: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Expected uses in logarithms, for words of any length and one language."""
+        marked = ["▁" + word for word in words]
+        letters, numbers = np.array([len(word) for word in marked]), np.arange(len(words))
+        before = np.full((letters.max() + 1, len(words)), -np.inf)
+        before[0] = 0.0
+        for a, b, word, begin, end, piece in self.slices(marked):
+            cuts = np.searchsorted(end, np.arange(a + 1, b + 2))
+            for at in range(a + 1, b + 1):
+                span = slice(cuts[at - a - 1], cuts[at - a])
+                rows, found = _log_sums_by_word(before[begin[span], word[span]] + logs[piece[span]], word[span])
+                before[at, rows] = found
+        after = np.full_like(before, -np.inf)
+        after[letters, numbers] = np.log(times) - before[letters, numbers]
+        uses = np.zeros(self.size + 1)
+        for a, b, word, begin, end, piece in self.slices(marked, backwards=True):
+            cuts = np.searchsorted(begin, np.arange(a, b + 1))
+            for at in range(b - 1, a - 1, -1):
+                span = slice(cuts[at - a], cuts[at - a + 1])
+                rows, found = _log_sums_by_word(after[end[span], word[span]] + logs[piece[span]], word[span])
+                after[at, rows] = found
+            uses += np.bincount(piece, np.exp(before[begin, word] + logs[piece] + after[end, word]), minlength=self.size + 1)
+        return uses
+
     def expected(self, words: list[str], times: np.ndarray, probability: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in the words' segmentations, for one language."""
+        short, *longer = _by_length(words)
+        uses = self.short_expected([words[i] for i in short], times[short], probability) if len(short) else np.zeros(self.size + 1)
+        for some in longer:
+            uses += self.long_expected([words[i] for i in some], times[some], np.log(probability))
+        return uses
+
+    def short_expected(self, words: list[str], times: np.ndarray, probability: np.ndarray) -> np.ndarray:
         edges = self.edges(words)
         before = self.sums(edges, probability[:, None])[:, :, 0]
         after = np.zeros_like(before)
@@ -178,19 +284,23 @@ class Languages:
         """Rows of (doc_id, held_out, text) to (doc_id, held_out, lang_pred, score)."""
         pieces = loaded(self.vocabulary)
         place: dict[str, int] = {}
+        held = 0
         logs = np.zeros((REMEMBERED, len(self.names)))
 
         def add(words: list[str], lengths: list[int], texts: list[int], totals: np.ndarray) -> None:
             """Add the scores of consecutive sections of words to the texts they belong to."""
+            nonlocal held
             different = dict.fromkeys(words)
             fresh = [word for word in different if word not in place]
-            if len(place) + len(fresh) > REMEMBERED:
+            if len(place) + len(fresh) > REMEMBERED or held > LETTERS_REMEMBERED:
                 place.clear()
+                held = 0
                 fresh = list(different)
+            held += sum(map(len, fresh))
             for first in range(0, len(fresh), SECTION):
                 part = fresh[first : first + SECTION]
                 at = len(place)
-                logs[at : at + len(part)] = np.log(pieces.forward(part, self.probabilities))
+                logs[at : at + len(part)] = pieces.logs(part, self.probabilities)
                 place.update(zip(part, range(at, at + len(part)), strict=True))
             rows = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)

@@ -7,13 +7,14 @@ Adam on a bounded sample of labelled documents and applied to whole texts in the
 of chunks at a time.
 
 Fitting uses at most ``PER_LABEL`` documents of each label (about; drawn by a hash of doc_id, from
-rows outside the held-out fold) and at most ``TRAIN_CHUNKS`` evenly spread chunks of each; the
-output's offset then restores the labels' true shares. Scoring reads every byte.
+rows outside the held-out fold), each with its whole text; the output's offset then restores the
+labels' true shares. Scoring reads every byte.
 
 Defined cases: a null text counts as empty, an empty text is one chunk of padding and gets a score;
-labels other than 0 and 1, and null ones, are not learnt from, and a document labelled more than
-once counts each time; with one label only, its value is every score, and with none 0.5. Repeated
-rows are scored each. Further columns are ignored.
+labels other than 0 and 1, and null ones, are not learnt from; a document labelled more than once
+has its most frequent label and is not learnt from if both are as frequent; of rows that share a
+doc_id the text that is smallest in byte order is learnt from. With one label only, its value is
+every score, and with none 0.5. Repeated rows are scored each. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from paramill.llm.common import arrow_map, held_out
 
-PER_LABEL, TRAIN_CHUNKS = 1200, 12
+PER_LABEL = 1200
 FOLDS, HELD_OUT = 4, 2
 ACCEPTED = 0.7
 #: Window and step of the filters, chunk step in bytes, embedding width, filters.
 WIDTH, STRIDE, CHUNK, EMBEDDING, FILTERS = 8, 2, 512, 6, 24
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 11
-#: Chunks that are convolved at a time when scoring.
+#: Chunks that are convolved at a time.
 SECTION = 128
 
 
@@ -76,7 +77,8 @@ class Network:
         w = self.weights
         flat = np.concatenate(chunks)
         starts = np.cumsum([0] + [len(c) for c in chunks])
-        pooled, places = self.pooled(flat, places=True)
+        sections = [slice(at, at + SECTION) for at in range(0, len(flat), SECTION)]
+        pooled, places = (np.concatenate(part) for part in zip(*(self.pooled(flat[s], places=True) for s in sections), strict=True))
         spans = list(zip(starts[:-1], starts[1:], strict=True))
         winners = np.stack([a + pooled[a:b].argmax(axis=0) for a, b in spans])
         features = np.stack([np.concatenate([pooled[a:b].max(axis=0), pooled[a:b].mean(axis=0)]) for a, b in spans])
@@ -87,16 +89,17 @@ class Network:
             to_pooled[a:b] += back[i, FILTERS:] / (b - a)
             to_pooled[winners[i], np.arange(FILTERS)] += back[i, :FILTERS]
         to_pooled[pooled <= 0] = 0
-        rows = np.arange(len(flat))[:, None, None]
-        at = places[:, :, None] * STRIDE + np.arange(WIDTH)
-        seen = flat[rows, at]  # bytes in each filter's best window
-        windows = w["embedding"][seen].reshape(len(flat), FILTERS, -1)
-        to_windows = to_pooled[:, :, None] * w["filters"].T
-        to_embedding = np.zeros_like(w["embedding"])
-        np.add.at(to_embedding, seen.ravel(), to_windows.reshape(-1, EMBEDDING))
+        to_embedding, to_filters = np.zeros_like(w["embedding"]), np.zeros_like(w["filters"])
+        for s in sections:
+            part = flat[s]
+            at = places[s][:, :, None] * STRIDE + np.arange(WIDTH)
+            seen = part[np.arange(len(part))[:, None, None], at]  # bytes in each filter's best window
+            windows = w["embedding"][seen].reshape(len(part), FILTERS, -1)
+            np.add.at(to_embedding, seen.ravel(), (to_pooled[s][:, :, None] * w["filters"].T).reshape(-1, EMBEDDING))
+            to_filters += np.einsum("cf,cfw->wf", to_pooled[s], windows)
         return {
             "embedding": to_embedding,
-            "filters": np.einsum("cf,cfw->wf", to_pooled, windows),
+            "filters": to_filters,
             "bias": to_pooled.sum(axis=0),
             "output": features.T @ error,
             "offset": np.array([error.sum()]),
@@ -109,7 +112,6 @@ class Network:
             return self
         random = np.random.default_rng(SEED)
         cut = [chunks_of(d) for d in documents]
-        cut = [c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int))] for c in cut]
         wanted = np.array(labels, dtype=np.float32)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -166,27 +168,16 @@ class Network:
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Network:
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     named = named.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(FOLDS, HELD_OUT))
+    # one label per document, so that what is drawn below is bounded by per_label
+    named = named.groupBy("doc_id").agg(F.avg("quality").alias("share")).filter("share <> 0.5")
+    named = named.select("doc_id", (F.col("share") > 0.5).cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in named.groupBy("quality").count().collect()}
     share = {q: min(1.0, per_label / max(1, counts.get(q, 0))) for q in (0, 1)}
     limit = F.when(F.col("quality") == 0, share[0]).otherwise(share[1]) * (1 << 20)
     drawn = named.filter(F.pmod(F.xxhash64(F.lit("drawn"), "doc_id"), F.lit(1 << 20)) < limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # the drawn labels are bounded by per_label
-    sample = texts.join(F.broadcast(drawn), "doc_id")
-    keep = CHUNK * TRAIN_CHUNKS + WIDTH
-
-    def thin(batches):  # only what fitting reads of a text goes to the driver
-        for batch in batches:
-            data = [t.encode() for t in batch.column(1).to_pylist()]
-            cut = [chunks_of(d) if len(d) > keep else None for d in data]
-            kept = [
-                d if c is None else b"".join(row[:CHUNK].tobytes() for row in c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int))])
-                for d, c in zip(data, cut, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), batch.column(2)], names=["doc_id", "data", "quality"])
-
-    rows = arrow_map(sample.select("doc_id", "text", "quality"), thin, "doc_id long, data binary, quality int").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["data"])))
+    sample = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sample.select("doc_id", "quality", F.col("text").cast("binary").alias("data")).orderBy("doc_id").collect()
     return Network().fit([bytes(r["data"]) for r in rows], [r["quality"] for r in rows], (share[0], share[1]))
 
 

@@ -122,7 +122,8 @@ def _holdout(pipeline: SupervisedPipeline, df: DataFrame, size: float, seed: int
     drop_stage(predicted)
     sources = holdout_sources(df, SOURCE, size, seed)
     if table_path:
-        sources.write.mode("overwrite").parquet(table_path)
+        # in order, however many: training sources first, each kind by name
+        sources.orderBy("is_test", SOURCE).write.mode("overwrite").parquet(table_path)
     counts = {r["is_test"]: r["count"] for r in sources.groupBy("is_test").count().collect()}
     report = {
         "metrics": metrics,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import warnings
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 from paramill import vocabulary as v
 from paramill.functions.scoring import parse_number
 from paramill.operators.audit import _c
+from paramill.session import ship
 from paramill.sources.csv_records import read_csv_text
 from paramill.sources.pages import path_exists
 
@@ -70,10 +76,47 @@ def write_training_csv(training: DataFrame, path: str) -> None:
     training.write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Files up to this many bytes are hashed as one value; larger ones are read by pieces of the second size.
+WHOLE_FILE, PIECE = 64 << 20, 1 << 20
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file below ``path``: ``(path, bytes, sha256)``."""
+    """SHA-256 of every file below ``path``, of any size: ``(path, bytes, sha256)``.
+
+    A large file is never one value: its task opens it by the file system of its path (a local or
+    mounted folder, HDFS, S3, GCS) and holds one piece at a time. Small files come from any store
+    that Spark reads. Sizes are known before contents, so no file is read twice.
+    Empty files have no row: Spark's file scan passes over them.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    kind = "path string, bytes long, sha256 string"
+    small = files.where(F.col("length") <= WHOLE_FILE)
+    small = small.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > WHOLE_FILE).select("path", F.col("length").alias("bytes"))
+    ship(spark)
+    return small.unionByName(large.mapInArrow(_digests, kind))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash the files a task was given, one after the other."""
+    for batch in batches:
+        found = [_digest(path) for path in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["path", "bytes", "sha256"])
+
+
+def _digest(path: str) -> str:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        store, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        # the path column has names as they are, a URI has them escaped
+        scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+        store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+    digest = hashlib.sha256()
+    with store.open_input_stream(name, buffer_size=0) as stream:
+        while piece := stream.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
 
 
 #: Column of :func:`in_file_order`.

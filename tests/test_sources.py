@@ -32,6 +32,33 @@ def test_csv_types_and_missing_texts(spark, tmp_path):
     assert training.file_hashes(spark, str(path)).first()["sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
 
 
+def test_file_hashes_by_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "WHOLE_FILE", 1000)
+    contents = {
+        "empty": b"", "small": b"abc", "limit": b"x" * 1000, "one more": b"x" * 1001,
+        "exact pieces": bytes(range(256)) * 8192, "not quite %41 ü": b"\x00\xff\n" * 1_000_001,
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    rows = training.file_hashes(spark, str(tmp_path)).collect()
+    del contents["empty"]  # Spark's file scan passes over empty files
+    assert {r["bytes"] for r in rows} == {len(c) for c in contents.values()} and len(rows) == len(contents)
+    assert sorted(r["sha256"] for r in rows) == sorted(hashlib.sha256(c).hexdigest() for c in contents.values())
+
+
+def test_a_file_above_the_row_limit(spark, tmp_path):
+    """Spark refuses such a file as one value; a sparse one takes no disk."""
+    path, size = tmp_path / "large", (2 << 30) + 5
+    with path.open("wb") as f:
+        f.truncate(size)
+    digest = hashlib.sha256()
+    for _ in range(2 << 10):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(5))
+    row = training.file_hashes(spark, str(path)).first()
+    assert (row["bytes"], row["sha256"]) == (size, digest.hexdigest())
+
+
 def test_stage_and_drop(spark):
     staged = session.stage(spark.range(100), "t", parallel=True)
     assert staged.rdd.getNumPartitions() >= 8 and staged.count() == 100

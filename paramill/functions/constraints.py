@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paramill import vocabulary as v
-from paramill.functions.scoring import parse_number
+from paramill.functions.scoring import parse_number, with_numbers
 from paramill.functions.text import lookup, strip
 from paramill.operators.audit import _c
 
@@ -26,11 +26,6 @@ def _blank_to_null(text: Column) -> Column:
     return F.when(strip(text) != "", text)
 
 
-def coerce_number(df: DataFrame, name: str) -> Column:
-    """The column as a double; null for blanks and for text that is no number."""
-    return parse_number(_c(name)) if _is_text(df, name) else _c(name).cast("double")
-
-
 def coerce_category(text: Column) -> Column:
     plain = F.lower(strip(text.cast("string")))
     return F.when(plain != "", F.coalesce(lookup(v.FLOW_TYPE_ALIASES, plain), plain))
@@ -65,7 +60,12 @@ def coerce_designs(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or []
     faults, columns = [], []
-    for name in df.columns:
+    # a number is parsed once, in a projection of its own, however many rules look at it
+    measured = [n for n in df.columns if n not in keys and n in v.SPECS and v.SPECS[n].dtype != "category"]
+    parsed = {n: f"_number_{i}" for i, n in enumerate(measured) if _is_text(df, n)}
+    given = df
+    df = with_numbers(df, {parsed[n]: _c(n) for n in parsed}) if parsed else df
+    for name in given.columns:
         spec = v.SPECS.get(name)
         if name in keys:
             columns.append(_c(name))
@@ -74,8 +74,8 @@ def coerce_designs(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         elif spec.dtype == "category":
             columns.append(coerce_category(_c(name)).alias(name))
         else:
-            number = coerce_number(df, name)
-            if _is_text(df, name):
+            number = F.col(parsed[name]) if name in parsed else _c(name).cast("double")
+            if name in parsed:
                 bad = _blank_to_null(_c(name)).isNotNull() & number.isNull()
                 message = F.concat(
                     F.lit(f"{name}: could not convert string to float: "), _quoted_text(_c(name))
@@ -174,6 +174,15 @@ def prepare_designs(df: DataFrame, keys: list[str] | None = None, model=None) ->
     return validate_designs(apply_defaults(df), v.DESIGN_FIELDS, keys)
 
 
+def valid_designs(df: DataFrame) -> DataFrame:
+    """The valid ones of prepared designs.
+
+    Rows are dropped by a generator: a filter would be pushed below the checks down to the scan, where every
+    rule would parse its texts again.
+    """
+    return df.select("*", F.explode(F.when(F.col(VALID), F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
 def select_features(df: DataFrame, names: list[str]) -> DataFrame:
     """Exactly the named columns, null where the table has none of that name."""
     return df.select(*[_c(n) if n in df.columns else F.lit(None).cast("double").alias(n) for n in names])

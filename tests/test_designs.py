@@ -93,3 +93,21 @@ def test_parameter_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first()["长"] == "10.0"
     long = {(r["name"], r["value"]) for r in parameters.designs_long(df, "file").collect()}
     assert ("长", "10.0") in long and ("高", None) in long
+
+
+def test_a_text_is_parsed_once_whatever_rules_look_at_it(spark, folder):
+    from paramill.plans import registered
+
+    for name in ("prepare_designs", "partition_layout", "design_brief", "complete_designs"):
+        plan = registered.REGISTRY[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        numbers = plan.count("(?:inf(?:inity)?|nan)") + plan.count("|inf(?:inity)?|nan)")
+        assert 0 < numbers <= 20, (name, numbers)  # seven texts; more than a hundred when every rule parses its own
+        scan = plan[plan.index("Relation") - 400 :]
+        assert "Filter" not in scan, name  # no check is pushed down to the scan
+
+
+def test_designs_are_dealt_to_tasks_by_rows(spark, tmp_path):
+    from paramill.plans import sample_inputs
+
+    spark.range(500_001).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert sample_inputs.designs(spark, str(tmp_path)).rdd.getNumPartitions() == 11

@@ -194,3 +194,11 @@ def test_records_are_dealt_once(spark, folder):
     records = extraction.match_records(listed_pages(spark, folder))
     plan = records.repartition("pdf_name", "page").distinct()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(pdf_name") == 1 and "Exchange hashpartitioning(pdf_name" in plan
+
+
+def test_pages_are_dealt_to_tasks_by_rows(spark, tmp_path):
+    from paramill.plans import sample_inputs
+
+    rows = spark.range(600_001).selectExpr("id AS o_orderkey", "id AS o_custkey", "1.5D AS o_totalprice")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert sample_inputs.report_pages(spark, str(tmp_path)).rdd.getNumPartitions() == 13

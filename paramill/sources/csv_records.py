@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paramill.session import ship
+from paramill.session import ship, stage
 
 SPLIT = "file string, start long, from_outside boolean, from_inside boolean, closes boolean"
 PIECE = "file string, owner long, start long, whole boolean, header boolean, text string"
@@ -105,7 +105,12 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     ship(spark)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
     lines = spark.read.option("lineSep", "\n").text(path).select(*place, "value")
-    splits = lines.mapInArrow(_scan(sep), SPLIT)
+    # a line without a quote leaves things as they are: a split of such lines ends in what it begins in
+    scanned = lines.where(F.contains("value", F.lit('"'))).mapInArrow(_scan(sep), SPLIT)
+    splits = lines.select("file", "start").distinct().join(scanned, ["file", "start"], "left").select(
+        "file", "start", F.coalesce("from_outside", F.lit(False)).alias("from_outside"),
+        F.coalesce("from_inside", F.lit(True)).alias("from_inside"), F.coalesce("closes", F.lit(False)).alias("closes"),
+    )
     # where a split ends whatever it begins in, the flips before it don't matter
     settled = F.col("from_outside") == F.col("from_inside")
     upto = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,7 +138,8 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns of CSV files with a header, as text. The first file by name names the columns."""
-    records = csv_records(spark, path, sep)
+    # the header, the types of columns and the values are readers of their own
+    records = stage(csv_records(spark, path, sep), "csv-records")
     head = records.where("header").agg(F.min_by("text", "file").alias("text")).first()["text"]
     if head is None:
         return spark.createDataFrame([], "value string").select()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramill import vocabulary as v
-from paramill.functions.scoring import parse_number
+from paramill.functions.scoring import with_numbers
 from paramill.operators.audit import _c
 from paramill.session import ship
 from paramill.sources.csv_records import read_csv_text
@@ -40,12 +40,10 @@ def read_training_csv(spark: SparkSession, path: str, schema: str | None = None)
         return text.select(*[_c(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
     if not text.columns:
         return text
-    bad = text.agg(
-        *[F.count_if(_c(c).isNotNull() & parse_number(_c(c)).isNull()).alias(str(i)) for i, c in enumerate(text.columns)]
-    ).first()
-    return text.select(
-        *[parse_number(_c(c)).alias(c) if bad[i] == 0 else _c(c) for i, c in enumerate(text.columns)]
-    )
+    read = {c: f"_read_{i}" for i, c in enumerate(text.columns)}
+    both = with_numbers(text, {n: _c(c) for c, n in read.items()})
+    bad = both.agg(*[F.count_if(_c(c).isNotNull() & F.col(n).isNull()).alias(n) for c, n in read.items()]).first()
+    return both.select(*[F.col(n).alias(c) if bad[n] == 0 else _c(c) for c, n in read.items()])
 
 
 def read_existing_training(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame | None:

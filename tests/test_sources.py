@@ -137,3 +137,24 @@ def test_csv_records_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert len(want) == 400 and [r[1] for r in want if r[0] == "100"] == [rows[100][1]]
+
+
+def test_lines_are_cut_once_for_header_types_and_values(spark, tmp_path, monkeypatch):
+    from paramill.sources import csv_records
+
+    (tmp_path / "a.csv").write_text('k,x,t\n1,2.5,"a\nb"\n\n2,nan,c\n')
+    (tmp_path / "b.csv").write_text("k,x,t\n3,1e3,d\n4,,10d\n")
+    staged = []
+    monkeypatch.setattr(csv_records, "stage", lambda df, label: staged.append(label) or session.stage(df, label))
+    rows = training.read_training_csv(spark, str(tmp_path))
+    assert staged == ["csv-records"]
+    assert sorted(map(tuple, rows.collect())) == [(1.0, 2.5, "a\nb"), (2.0, None, "c"), (3.0, 1000.0, "d"), (4.0, None, "10d")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("RLIKE") <= 6
+
+
+def test_training_rows_are_dealt_to_tasks_by_rows(spark, folder):
+    from paramill.plans import sample_inputs
+
+    n = sample_inputs.training_rows(spark, folder).count()
+    assert sample_inputs.training_rows(spark, folder, n // 12).rdd.getNumPartitions() in (12, 13)

@@ -19,8 +19,10 @@ itself, or one further inside, if nothing else of the main region would stay. Wh
 left-out element inside a block is one block. A tag that is never closed ends the page.
 
 A host's pages are dealt into groups of about ``PAGES``, so no group grows with a host; the result
-does not depend on the groups. Runs are joined by 64-bit codes. Hosts whose pages all declare their
-main region need no runs and are left out of it.
+does not depend on the groups: a passage on more than half of a host's main texts is on more than half of
+some group's, so the groups name the passages that may be common and these are counted over the host. Runs are
+joined by 64-bit codes. Runs of whole pages are sought where a page declares no main region, runs of main
+regions on hosts with at least ``COMMON`` different ones.
 
 Defined cases: null or empty html gives an empty text with 0 characters; a null or malformed url is
 a host of its own name; elements left open end with the element around them; repeated rows are
@@ -45,10 +47,13 @@ from paramill.llm.common import arrow_map, ship, written
 
 #: Blocks of a run that counts as repeated, words of one, and pages of a group.
 RUN, WORDS, PAGES = 3, 12, 512
+#: Different main texts of a host that hold a passage of its own notices, at least.
+COMMON = 5
 #: Hosts with several groups that may be broadcast (some 100 bytes each).
 BROADCAST_HOSTS = 100_000
 PAGE = "page_id long, url string, text string, n_chars long"
-PARSED = "page_id long, url string, host string, declared boolean, texts array<string>, codes array<long>, own array<boolean>"
+PARSED = "page_id long, url string, host string, declared boolean, texts array<string>, codes array<long>, own array<boolean>, main long"
+MARKS = "host string, main long, code long"
 FOUND = "host string, deal long, code long, low long, high long, blank boolean"
 MAIN = frozenset({"article", "main"})
 #: Elements that end a block of text.
@@ -340,7 +345,7 @@ def unique_text(texts: list[str], codes: list[int], own: list[bool], repeated: n
 
 def _parse(batches):
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for page in batch.column(3).to_pylist():
             blocks = blocks_of(page or "")
             declared = any(main and not apart for _, _, main, apart in blocks)
@@ -348,13 +353,102 @@ def _parse(batches):
             columns[1].append([text for _, text, _, _ in blocks])
             columns[2].append([code_of(f"{path}\0{text}") for path, text, _, _ in blocks])
             columns[3].append([not apart and (main or not declared) for _, _, main, apart in blocks])
-        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            columns[4].append(code_of("\n".join(text for _, text, main, apart in blocks if main and not apart)) if declared else None)
+        kinds = (pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-            names=["page_id", "url", "host", "declared", "texts", "codes", "own"],
+            names=["page_id", "url", "host", "declared", "texts", "codes", "own", "main"],
         )
 
 
+def main_streams(texts: list[str], known: dict[str, int]) -> list[tuple[np.ndarray, int]]:
+    """Streams of the blocks of a main region, whatever elements they stand in."""
+    return streams_of(texts, [code_of(text) for text in texts], known)
+
+
+def frequent_runs(regions: list[list[str]]) -> np.ndarray:
+    """Codes of the runs that stand in more than half of some main regions."""
+    out, known = [np.zeros(0, dtype=np.int64)], {}
+    for kind in zip(*(main_streams(texts, known) for texts in regions), strict=True):
+        run, streams = kind[0][1], [tokens for tokens, _ in kind]
+        suffixes, first = distinct_runs(streams, run)
+        if not len(suffixes):
+            continue
+        lengths = [len(s) for s in streams]
+        owner = np.repeat(np.arange(len(streams)), lengths)[suffixes]
+        of = np.repeat(np.arange(len(first)), np.diff(first, append=len(suffixes)))
+        pages = np.bincount(np.unique(of * len(streams) + owner) // len(streams), minlength=len(first))
+        ends = np.cumsum(lengths)
+        for at in suffixes[first[2 * pages > len(regions)]]:
+            stream = np.searchsorted(ends, at, side="right")
+            start = at - (ends[stream] - lengths[stream])
+            out.append(run_codes(streams[stream][start : start + run], run))
+    return np.concatenate(out)
+
+
+def notices(parsed: DataFrame) -> DataFrame | None:
+    """Runs in the main regions of more than half of a host's different pages: host, marks (their codes);
+    None if there are none."""
+    declared = parsed.filter("declared")
+    sites = declared.groupBy("host").agg(F.count_distinct("main").alias("regions")).filter(F.col("regions") >= COMMON)
+    sites = written(sites.withColumn("groups", F.ceil(F.col("regions") / PAGES)), "sites")
+    if sites.count() <= BROADCAST_HOSTS:
+        sites = F.broadcast(sites)
+    regions = declared.join(sites, "host").select(
+        "host", F.pmod(F.xxhash64("main"), F.col("groups")).alias("deal"), "main", F.filter("texts", lambda _, i: F.get("own", i)).alias("texts")
+    )
+
+    def once(batches):
+        seen = set()  # codes of the task's pages: copies of a page are not shuffled
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = batch.filter(pa.array([key not in seen and not seen.add(key) for key in keys], pa.bool_()))
+            texts = ["\n".join(blocks).encode("utf-8", "surrogatepass") for blocks in new.column(3).to_pylist()]
+            packed = [pa.compress(text, codec="zstd", asbytes=True) for text in texts]  # Spark's own codec takes half as much again
+            columns = [*new.columns[:3], pa.array([len(text) for text in texts], pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "deal", "main", "size", "packed"])
+
+    def find(key, table):
+        pages = {main: (packed, size) for main, packed, size in zip(*(table.column(c).to_pylist() for c in ("main", "packed", "size")), strict=True)}
+        texts = [pa.decompress(packed, size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") for _, (packed, size) in sorted(pages.items())]
+        codes = np.unique(frequent_runs([text.split("\n") for text in texts]))
+        return pa.table({"host": pa.array([key[0].as_py()] * len(codes), pa.string()), "code": pa.array(codes, pa.int64())})
+
+    dealt = arrow_map(regions, once, "host string, deal long, main long, size int, packed binary")
+    found = dealt.groupBy("host", "deal").applyInArrow(find, "host string, code long")
+    maybe = written(found, "frequent-runs")
+    if maybe.isEmpty():
+        return None
+    asked = maybe.groupBy("host").agg(F.collect_set("code").alias("asked"))
+
+    def held(batches):
+        for batch in batches:
+            known: dict[str, int] = {}
+            rows = []
+            for host, main, texts, codes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                wanted = np.array(codes, dtype=np.int64)
+                for tokens, run in main_streams(texts, known):
+                    rows += [(host, main, code) for code in np.intersect1d(run_codes(tokens, run), wanted).tolist()]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "main", "code"])
+
+    marks = arrow_map(regions.join(asked, "host").select("host", "main", "texts", "asked"), held, MARKS)
+    marks = marks.groupBy("host", "code").agg(F.count_distinct("main").alias("n")).join(sites, "host")
+    marks = marks.filter((F.col("n") >= COMMON) & (2 * F.col("n") > F.col("regions")))
+    return written(marks.groupBy("host").agg(F.collect_list("code").alias("marks")), "notices")
+
+
+def _without_notices(batches):
+    for batch in batches:
+        known: dict[str, int] = {}
+        texts = []
+        for blocks, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            codes = [code_of(text) for text in blocks]
+            kept = unique_text(blocks, codes, [True] * len(blocks), np.array(marks, dtype=np.int64), known) if marks else ""
+            texts.append(kept or "\n".join(blocks))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
@@ -364,9 +458,15 @@ def extract(pages: DataFrame) -> DataFrame:
         host.alias("host"),
         F.col("html").cast("string").alias("html"),
     )
-    parsed = written(arrow_map(rows, _parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "blocks")
-    text = F.array_join(F.filter("texts", lambda _, i: F.get("own", i)), "\n")
-    declared = parsed.filter("declared").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = written(arrow_map(rows, _parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "blocks", compression="zstd")
+    declared, mine = parsed.filter("declared"), F.filter("texts", lambda _, i: F.get("own", i))
+    common = notices(parsed)
+    if common is None:
+        declared = declared.select("page_id", "url", F.array_join(mine, "\n").alias("text"))
+    else:
+        marked = declared.join(F.broadcast(common) if common.count() <= BROADCAST_HOSTS else common, "host", "left")
+        declared = arrow_map(marked.select("page_id", "url", mine.alias("texts"), "marks"), _without_notices, "page_id long, url string, text string")
+    declared = declared.withColumn("n_chars", F.length("text").cast("long"))
 
     # hosts with a page that declares no main region, and into how many groups their pages are dealt
     hosts = parsed.groupBy("host").agg(F.count("*").alias("pages"), F.bool_and("declared").alias("all_declared"))

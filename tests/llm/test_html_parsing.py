@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from paramill.llm import html_text
 from paramill.llm.html_text import blocks_of
 
 
@@ -51,3 +52,36 @@ def test_stray_end_tags_under_many_open_elements():
     start = time.perf_counter()
     blocks_of("<b>" * 6000 + "</i>" * 200_000)
     assert time.perf_counter() - start < 5
+
+
+def extracted(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_passages_that_a_host_repeats_in_its_articles(spark, monkeypatch):
+    """The suffix arrays decide inside declared regions too, over groups smaller than the host."""
+    monkeypatch.setattr(html_text, "PAGES", 4)
+    notice = " ".join(f"notice{i}" for i in range(30))
+    own = {i: " ".join(f"own{i}x{j}" for j in range(20)) for i in range(120)}
+    rows, want = [], {}
+
+    def page(i, host, *blocks, kept):
+        rows.append((i, f"http://{host}/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"))
+        want[i] = "\n".join(kept)
+
+    for i in range(20):  # a notice on most pages, as a block, within a block, and a page without it
+        blocks = [own[i]] if i == 7 else [f"{own[i]} {notice}"] if i == 8 else [own[i], notice]
+        page(i, "most", *blocks, kept=[own[i]])
+    page(20, "most", notice, kept=[notice])  # nothing else would stay
+    for i in range(30, 50):  # on fewer than half of the pages
+        page(i, "some", own[i], *[notice] * (i % 3 == 0), kept=[own[i], *[notice] * (i % 3 == 0)])
+    for i in range(60, 64):  # few pages
+        page(i, "few", own[i], notice, kept=[own[i], notice])
+    for i in range(70, 90):  # copies of an article are one page, and article text that two others share stays
+        page(i, "copies", own[70], notice, kept=[own[70], notice])
+    for i in range(90, 96):
+        page(i, "copies", own[i], *[own[99]] * (i < 92), kept=[own[i], *[own[99]] * (i < 92)])
+    for i in range(100, 110):  # three blocks that most pages repeat
+        page(i, "blocks", own[i], "share this", "print", "comment", kept=[own[i]])
+    assert extracted(spark, rows) == want

@@ -3,7 +3,8 @@ import random
 import pytest
 from paramill import vocabulary as v
 from paramill.functions import scoring, text
-from paramill.operators import extraction
+from paramill.operators import extraction, tables
+from paramill.plans import registered
 from pyspark.sql import functions as F
 
 PAGES = "pdf_name string, page int, text string"
@@ -202,3 +203,19 @@ def test_pages_are_dealt_to_tasks_by_rows(spark, tmp_path):
     rows = spark.range(600_001).selectExpr("id AS o_orderkey", "id AS o_custkey", "1.5D AS o_totalprice")
     rows.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     assert sample_inputs.report_pages(spark, str(tmp_path)).rdd.getNumPartitions() == 13
+
+
+def test_rows_are_dropped_without_a_filter_below_the_scan(spark, folder):
+    # a filter would go below the exchange that deals pages to tasks, or compute scores and roles twice
+    for name in ("review_table", "quality_report", "extract_summary", "training_pivot", "extract_detail", "extract_listed_twice", "scan_number_units"):
+        plan = registered.REGISTRY[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+        assert not [line for line in filters if "RLIKE" in line or "element_at" in line], name
+
+
+def test_pages_and_records_that_are_dropped(spark):
+    pages = [("a", 1, "no numbers"), ("a", 2, None), ("a", 3, ""), ("a", 4, "COD was 2020. Influent COD was 30 mg/L. COD was 7 mg/L"), ("a", 4, "COD was 2020.")]
+    records = extraction.match_records(spark.createDataFrame(pages, PAGES))
+    assert sorted(r.raw_value for r in tables.clean_detail(records).collect()) == ["2020", "2020", "30", "7"]
+    shown = tables.clean_detail(tables.review_table(records), ["parameter", "value", "quality_status", "water_role", "category"]).collect()
+    assert sorted(r.value for r in shown) == [7.0, 2020.0]

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from paramill import vocabulary as v
@@ -219,3 +220,30 @@ def test_pages_and_records_that_are_dropped(spark):
     assert sorted(r.raw_value for r in tables.clean_detail(records).collect()) == ["2020", "2020", "30", "7"]
     shown = tables.clean_detail(tables.review_table(records), ["parameter", "value", "quality_status", "water_role", "category"]).collect()
     assert sorted(r.value for r in shown) == [7.0, 2020.0]
+
+
+def test_classes_of_overlapping_spellings_in_one_pass(spark):
+    """Against a search for every spelling on its own."""
+    rng = random.Random(3)
+    names = list(v.ALIAS_PARAMETER)
+    words = [*names, *[n[:-1] for n in names], *" ".join(names).split(), "x", "²", "_", "-", "5", "。"]
+    texts = ["".join(rng.choice(words).upper() + rng.choice([" ", " ", "", "-"]) for _ in range(rng.randint(0, 5))) for _ in range(3000)] + names
+    texts += ["horizontal flow rate", "water temperature", "canna indica", "填料类型(结构)", "水温度", "cod_", "a\ndo\n", None, ""]
+
+    def stands(alias, text):
+        edge = r"[^\W_]|_|[²³¹½]"
+        at = -1
+        while (at := text.find(alias, at + 1)) >= 0:
+            if not alias.isascii() or not (re.match(edge, text[at - 1 : at]) or re.match(edge, text[at + len(alias) :])):
+                return True
+        return False
+
+    def category(t):
+        first = next((a for a in names if stands(a, (t or "").lower())), None)
+        return v.PARAMETER_CATEGORY[v.ALIAS_PARAMETER[first]] if first else v.OTHER_CATEGORY
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.classify_text(F.col("t")).alias("c"))
+    rows = df.collect()
+    assert [(r.t, r.c) for r in rows if r.c != category(r.t)] == [] and len({r.c for r in rows}) == len(v.CATEGORIES) + 1
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("regexp_extract_all(") == 1

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paramill.llm.common import ROWS_AT_ONCE, arrow_map, forget, held_out, ship, written
+from paramill.llm.common import ROWS_AT_ONCE, arrow_map, forget, held_out, ship, small_batches, written
 
 #: Labelled documents per language that are learnt from, at most, and rounds over them.
 PER_LANGUAGE, ROUNDS = 400, 2
@@ -404,6 +404,7 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     model = learn(docs)
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

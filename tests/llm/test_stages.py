@@ -2,8 +2,9 @@
 
 import collections
 
+import pyarrow as pa
 import pytest
-from paramill.llm import exact_dedup, jaccard_join, language, mixing
+from paramill.llm import common, exact_dedup, jaccard_join, language, mixing
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, _id long, _sha string, _size int, row string, `a b` int, own int, place int"
 TEXTS = ["the house and the garden are old", "the house and the garden are old", None, "", "½ ² Ⅷ ①", "हिन्दी में लिखा हुआ", "la maison est belle", "das Haus ist alt"]
@@ -53,3 +54,25 @@ def test_reruns_of_the_mix_agree(docs):
     assert first == collections.Counter(mixing.mixed(docs.repartition(7)).collect())
     taken = {(r.doc_id, r.source, r.size): 0 for r in mixing.mix(docs).collect()}
     assert sum(first.values()) == sum(r.copies for r in mixing.mix(docs).collect()) and taken
+
+
+def test_batches_are_small_in_both_directions(spark):
+    """Whatever an operator hands back, a task holds few rows of it outside the heap at a time."""
+
+    class Table:
+        sparkSession = spark
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    held = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["x" * 20_000] * 5000)], names=["id", "text"])
+    out = list(common.arrow_map(Table(), lambda batches: [pa.Table.from_batches(list(batches)).combine_chunks().to_batches()[0]], "")(iter([held])))
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([held]))
+    assert max(b.num_rows for b in out) <= common.ROWS_AT_ONCE and max(b.nbytes for b in out) <= common.BYTES_AT_ONCE
+    assert int(spark.conf.get(common.BATCH_BYTES)) == common.HANDED_BYTES
+    spark.conf.set(common.BATCH_BYTES, "5000000")
+    common.small_batches(spark)  # what the session says stays
+    assert spark.conf.get(common.BATCH_BYTES) == "5000000"
+    spark.conf.unset(common.BATCH_BYTES)
+    common.small_batches(spark)
+    assert int(spark.conf.get(common.BATCH_BYTES)) == common.HANDED_BYTES

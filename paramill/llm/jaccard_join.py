@@ -11,9 +11,9 @@ Documents are sets of word shingles; two of them link when their Jaccard similar
    that could link; the components of these edges are blocks that hold every link inside.
 3. Blocks are cut into tiles of at most two chunks of classes, and the n-gram codes into fragments.
    Each (tile, fragment) counts partial overlaps of all pairs of the tile; per tile the partial
-   counts are summed per pair and compared with the sizes. A tile passes on a spanning forest of
-   its links, which keeps every component, rather than all pairs within a group of copies.
-4. Components of the forests give each document the least doc_id that links reach.
+   counts are summed per pair and compared with the sizes. A tile passes on stars over what its
+   links join, which keeps every component, rather than all pairs within a group of copies.
+4. Components of the stars give each document the least doc_id that links reach.
 
 Defined cases: A-Z count as lower case; null or empty text, or text without words, has an empty
 set, links with nothing and is its own component; with fewer than five words the whole sequence
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paramill.llm.common import arrow_map, ship, unfolded, whole_row, whole_text, written
-from paramill.llm.components import components
+from paramill.llm.components import components, least_reached, stars
 from paramill.llm.shingles import CODE_BITS, set_key, shingle_codes
 
 #: Similarity in hundredths.
@@ -88,7 +88,7 @@ def _sum_sketch(key, table):
     for blob in table.column("counts"):
         total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint8)
     counts = np.minimum(total, 255).astype(np.uint8)
-    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -147,8 +147,7 @@ def _prefixes(sketch, owners: int):
 
 
 def _edges(key, table):
-    """Edges between classes that share a prefix n-gram and whose sizes allow the similarity,
-    without cycles."""
+    """Stars over the classes that share a prefix n-gram and whose sizes allow the similarity."""
     code = np.concatenate([_unpacked(x.as_py()) for x in table.column("codes")])
     name = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("classes")])
     size = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in table.column("sizes")]).astype(np.int64)
@@ -156,10 +155,8 @@ def _edges(key, table):
     code, name, size = code[order], name[order], size[order]
     near = size[1:] - size[:-1] <= SIZE_STEPS * np.log2(100 / SIMILAR) + 2  # rounding may only let more through
     joined = np.nonzero((code[1:] == code[:-1]) & near & (name[1:] != name[:-1]))[0]
-    nodes, ends = np.unique(np.stack([name[joined], name[joined + 1]]), return_inverse=True)
-    kept = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(nodes))
-    edges = nodes[np.array(kept, dtype=np.int64).reshape(-1, 2)]
-    return pa.table({"u": pa.array(edges[:, 0], pa.int64()), "v": pa.array(edges[:, 1], pa.int64())})
+    u, v = stars(name[joined], name[joined + 1])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def _segments(batches):
@@ -239,27 +236,8 @@ def _count(key, table):
     return pa.table([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def forest(links: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of links among n nodes."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in links.tolist():
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def _verify(key, table):
-    """Sum the partial counts per pair, compare with the sizes, pass on a spanning forest."""
+    """Sum the partial counts per pair, compare with the sizes, pass on stars over what the links join."""
     sums: dict[str, list] = {}
     for tile, classes, left, sizes, counts in zip(*(table.column(c).to_pylist() for c in ("tile", "classes", "left", "sizes", "counts")), strict=True):
         sizes = np.frombuffer(sizes, dtype="<i8")
@@ -278,9 +256,9 @@ def _verify(key, table):
         common = counts[a, b]
         linked = (a < b + shift) & (100 * common >= SIMILAR * (sizes[a] + sizes[b + shift] - common))
         links = np.stack([a[linked], b[linked] + shift], axis=1)
-        kept = forest(links, len(sizes))
-        if kept:
-            found.append(classes[np.array(kept)])
+        least = least_reached(links, len(sizes))
+        hung = np.nonzero(least != np.arange(len(sizes)))[0]
+        found.append(classes[np.stack([hung, least[hung]], axis=1)])
     both = np.concatenate(found)
     return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
 
@@ -295,13 +273,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = first.filter("range IS NULL").select("doc_id", "n_shingles", "class")
     parts = first.filter("range IS NOT NULL").select("range", "counts").groupBy("range").applyInArrow(_sum_sketch, "range int, counts binary")
     sketch = np.zeros((SKETCH_RANGES, (1 << SKETCH_BITS) // SKETCH_RANGES), dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        sketch[r["range"]] = np.frombuffer(r["counts"], dtype=np.uint8)
+    for r in parts.collect():  # in one job; at most the sketch, compressed
+        sketch[r["range"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
     shared = spark.sparkContext.broadcast(sketch.ravel())
+    del sketch
 
     prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary")
     edges = prefixes.groupBy("owner").applyInArrow(_edges, "u long, v long")
     blocks = written(components(edges), "jaccard-blocks")
+    shared.destroy()  # nothing reads the prefixes again
 
     classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))

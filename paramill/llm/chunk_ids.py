@@ -55,20 +55,31 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.model = self.tokenizer.model
         self.letters = letter_of_byte()
+        self.bytes_of = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.pieces = _Memory(self._piece)
         self.chunks = _Memory(self._chunk)
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if not (piece.isascii() and piece.isalnum()):  # these letters stand for themselves
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(piece)
+        if len(tokens) == 1:
+            return self.bytes_of[tokens[0].id]
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk.isascii() and chunk.isalpha():  # one piece of the pattern
-            return self.pieces[chunk.lower()]
-        if (chunk.isascii() or max(chunk) < "Ā") and "<|" not in chunk:
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk.lower())))
+        if chunk.isascii():
+            if chunk.isalpha():  # one piece of the pattern
+                return self.pieces[chunk.lower()]
+            plain = True
+        else:
+            plain = max(chunk) < "Ā"
+        if plain and "<|" not in chunk:
+            found = PIECES.findall(chunk.lower())
+            return self.pieces[found[0]] if len(found) == 1 else b"".join([self.pieces[p] for p in found])
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 

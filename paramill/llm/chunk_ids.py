@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+import weakref
 
 #: Remembered chunks and pieces per Python worker, and the longest ones worth remembering.
 REMEMBERED = 600_000
@@ -31,12 +32,27 @@ def letter_of_byte() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+_memories: list[weakref.ref] = []
+_step = ""
+
+
+def begin(step: str) -> None:
+    """Tell what this Python worker does from now on: workers outlive their stages, and what was remembered for
+    another step would lie beside what this one holds."""
+    global _step
+    if step != _step:
+        _step = step
+        for memory in [m for r in _memories if (m := r()) is not None]:
+            memory.clear()
+
+
 class _Memory(dict):
     """Remembers what ``work`` gives for short keys; starts anew when full."""
 
     def __init__(self, work):
         super().__init__()
         self.work = work
+        _memories.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.work(key)

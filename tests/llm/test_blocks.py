@@ -56,6 +56,16 @@ def test_rules_by_levels():
         token_files.rule_lengths(np.array([[V, 1]], dtype="<u2"))
 
 
+def test_a_worker_forgets_what_it_remembered_for_another_step():
+    memory = chunk_ids._Memory(len)
+    chunk_ids.begin("packing")
+    assert memory["word"] == 4
+    chunk_ids.begin("packing")
+    assert memory == {"word": 4}
+    chunk_ids.begin("near copies")
+    assert memory == {}
+
+
 def test_pieces_as_the_library_has_them():
     ids = chunk_ids.chunk_ids()
     for chunk in ("word", "Word's", "x1y", "naïve", "a_b", "__", "½x", "\x01", "~a", "été,", "'s", "1", "ÀÉ"):

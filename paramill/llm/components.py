@@ -77,13 +77,19 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns u and v; their order, repetitions and loops don't matter. Every round is
     a few aggregations and is written, so nothing grows with the number of rounds, and no task or
-    the driver holds a component.
+    the driver holds a component. Tasks draw stars from written links: once for all that reads the stars, and
+    apart from a Python step that makes the links, beside which every task would hold a second worker.
     """
-    pairs = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
-    now = written(arrow_map(pairs, _task_stars, "u long, v long"), "links")
+
+    def drawn(pairs: DataFrame) -> DataFrame:
+        links = written(pairs, "links")
+        out = written(arrow_map(links, _task_stars, "u long, v long"), "stars")
+        forget(links)
+        return out
+
+    now = drawn(links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v"))
     while not _settled(now):
-        after = _stars(_stars(arrow_map(now, _task_stars, "u long, v long"), large=True), large=False)
-        after = written(after.distinct(), "links")
+        after = drawn(_stars(_stars(now, large=True), large=False).distinct())
         forget(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

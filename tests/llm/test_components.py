@@ -75,3 +75,20 @@ def test_a_long_path_takes_few_tasks(spark):
         assert len(stages) <= 30
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_links_are_read_by_one_python_step(spark, monkeypatch):
+    """A second one in a stage would double the workers beside an executor, and star rounds read their input often."""
+    steps = []
+
+    def told(df, label):
+        steps.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return written(df, label)
+
+    written = module.written
+    monkeypatch.setattr(module, "written", told)
+    monkeypatch.setattr(module, "LINKS_HELD", 3)
+    pairs = links("path of shuffled nodes")
+    table = spark.createDataFrame(pairs, "u long, v long").repartition(6)
+    assert {r.node: r.component for r in components(table.mapInArrow(lambda batches: batches, "u long, v long")).collect()} == least(pairs)
+    assert len(steps) > 2 and max(steps) == 1

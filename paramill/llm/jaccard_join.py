@@ -2,13 +2,16 @@
 
 Documents are sets of word shingles; two of them link when their Jaccard similarity reaches 0.75.
 
-1. Documents with the same set form a class, which is joined once. The same pass counts shingles
-   in a sketch of fixed size; the global n-gram order is (count in the sketch, code), rare first.
-   A sketch only shapes the order, and any order gives the same links.
-2. Two linked classes share an n-gram among the first quarter of either's order (prefix). Owners of
-   n-gram ranges order the classes of a shared prefix n-gram by set size and join neighbours whose
-   sizes allow the similarity, which gives linearly many edges and still joins any two classes
-   that could link; the components of these edges are blocks that hold every link inside.
+1. Documents with the same set form a class, which is joined once. The same pass notes in a sketch
+   of fixed size which shingles occur twice, and counts the frequent ones; the global n-gram order is
+   (once, then by count; code), rare first. A sketch only shapes the order, and any order gives the
+   same links.
+2. Two linked classes share an n-gram among the first quarter of the larger one's order (prefix) that
+   is among the first seventh of the smaller one's (short prefix). Owners of n-gram ranges order the
+   classes of a shared prefix n-gram by set size and join those in whose short prefix it is with the
+   next of these, and any other with the last of these before it, if the sizes allow the similarity.
+   That gives linearly many edges and still joins any two classes that could link; the components of
+   these edges are blocks that hold every link inside.
 3. Blocks are cut into tiles of at most two chunks of classes, and the n-gram codes into fragments.
    Each (tile, fragment) counts partial overlaps of all pairs of the tile; per tile the partial
    counts are summed per pair and compared with the sizes. A tile passes on stars over what its
@@ -37,9 +40,10 @@ from paramill.llm.shingles import CODE_BITS, set_key, shingle_codes
 
 #: Similarity in hundredths.
 SIMILAR = 75
-#: Counters of the sketch (2 to this power, one byte each that stops at 255: 32 MB whatever the
-#: data), dealt in ranges.
-SKETCH_BITS, SKETCH_RANGES = 25, 64
+#: The sketch, dealt in ranges: for 2 to the first power of slots, whether a shingle was met, and whether another
+#: was, a bit each; for 2 to the second power, how often one was met again within a task, a byte each (36 MB
+#: whatever the data, 20 MB of them for the order).
+SEEN_BITS, COUNT_BITS, SKETCH_RANGES = 27, 22, 64
 #: Classes of a chunk, and fragments of the n-gram order.
 CHUNK, FRAGMENT_BITS = 1024, 2
 FRAGMENTS = 1 << FRAGMENT_BITS
@@ -47,35 +51,76 @@ FRAGMENTS = 1 << FRAGMENT_BITS
 SIZE_STEPS = 2500
 #: Prefix n-grams that a reading task gathers before it deals them out.
 PREFIXES_HELD = 1 << 19
-_SHIFT = np.uint64(CODE_BITS - SKETCH_BITS)
+_SEEN_SHIFT, _COUNT_SHIFT = np.uint64(CODE_BITS - SEEN_BITS), np.uint64(CODE_BITS - COUNT_BITS)
+_SEEN_BYTES, _COUNT_BYTES = (1 << SEEN_BITS) // 8 // SKETCH_RANGES, (1 << COUNT_BITS) // SKETCH_RANGES
 
 
 def prefix_length(n: int) -> int:
     return n - -(-SIMILAR * n // 100) + 1
 
 
+def short_prefix_length(n: int) -> int:
+    """Of a set's first n-grams, so many hold the first one in common with any linked set that is no smaller."""
+    return n - -(-2 * SIMILAR * n // (100 + SIMILAR)) + 1
+
+
 def _tasks(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Sketch:
+    """Which shingles were met, which again, and how often again."""
+
+    def __init__(self):
+        self.once = np.zeros((1 << SEEN_BITS) // 8, dtype=np.uint8)
+        self.twice = np.zeros_like(self.once)
+        self.counts = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
+
+    def add(self, codes: np.ndarray) -> None:
+        """``codes`` may repeat."""
+        if not len(codes):
+            return
+        slot, met = np.unique((codes >> _SEEN_SHIFT).astype(np.uint32), return_counts=True)
+        bit = np.left_shift(1, slot & 7).astype(np.uint8)
+        at = slot >> 3
+        again = met - ((self.once[at] & bit) == 0)
+        coarse = slot >> (SEEN_BITS - COUNT_BITS)
+        first = np.flatnonzero(np.append(True, coarse[1:] != coarse[:-1]))
+        self.counts[coarse[first]] = np.minimum(self.counts[coarse[first]] + np.add.reduceat(again, first), 255)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        self.twice[at[first]] |= np.bitwise_or.reduceat(np.where(again > 0, bit, 0).astype(np.uint8), first)
+        self.once[at[first]] |= np.bitwise_or.reduceat(bit, first)
+
+    def parts(self) -> list[bytes]:
+        cut = (np.split(x, SKETCH_RANGES) for x in (self.once, self.twice, self.counts))
+        return [zlib.compress(b"".join(x.tobytes() for x in part), 1) for part in zip(*cut, strict=True)]
+
+
+def ranks(codes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Place of each code in the order: 0 if it was met once, else higher the more often. ``sketch`` has a row per range."""
+    slot, coarse = (codes >> _SEEN_SHIFT).astype(np.int64), (codes >> _COUNT_SHIFT).astype(np.int64)
+    twice = sketch[slot // (8 * _SEEN_BYTES), (slot >> 3) % _SEEN_BYTES] >> (slot & 7).astype(np.uint8) & 1
+    return twice * (sketch[coarse // _COUNT_BYTES, _SEEN_BYTES + coarse % _COUNT_BYTES].astype(np.uint16) + 1)
+
+
 def _first_pass(batches):
-    """One row per document, and the counts of the task's shingles."""
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    """One row per document, and the sketch of the task's shingles."""
+    sketch = Sketch()
     for batch in batches:
-        sizes, keys, slots = [], [], [np.zeros(0, dtype=np.uint32)]
+        sizes, keys, met = [], [], [np.zeros(0, dtype=np.uint64)]
         for text in batch.column(1).to_pylist():
             codes = shingle_codes(text)
             sizes.append(len(codes))
             keys.append(set_key(codes) if len(codes) else None)
-            slots.append((codes >> _SHIFT).astype(np.uint32))
-        slot, more = np.unique(np.concatenate(slots), return_counts=True)
-        sketch[slot] = np.minimum(sketch[slot] + more, 255)
+            met.append(codes)
+        sketch.add(np.concatenate(met))
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
             names=["doc_id", "n_shingles", "class", "range", "counts"],
         )
-    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SKETCH_RANGES)]
+    parts = sketch.parts()
+    del sketch
     none = pa.nulls(len(parts), pa.int64())
     yield pa.RecordBatch.from_arrays(
         [none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
@@ -84,11 +129,17 @@ def _first_pass(batches):
 
 
 def _sum_sketch(key, table):
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_RANGES, dtype=np.uint32)
+    """One range over all tasks: whether a shingle was met again, and counts in eighths of a doubling."""
+    once, twice = np.zeros((2, _SEEN_BYTES), dtype=np.uint8)
+    counts = np.zeros(_COUNT_BYTES, dtype=np.int64)
     for blob in table.column("counts"):
-        total += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint8)
-    counts = np.minimum(total, 255).astype(np.uint8)
-    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+        part = np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint8)
+        own = part[:_SEEN_BYTES]
+        twice |= part[_SEEN_BYTES : 2 * _SEEN_BYTES] | once & own
+        once |= own
+        counts += part[2 * _SEEN_BYTES :]
+    steps = np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
+    return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(twice.tobytes() + steps.tobytes(), 1)], pa.binary())})
 
 
 def _packed(codes: np.ndarray) -> np.ndarray:
@@ -107,11 +158,12 @@ def _prefixes(sketch, owners: int):
 
     def dealt(codes, names, sizes):
         code, lengths = np.concatenate(codes), list(map(len, codes))
+        short = np.concatenate([np.arange(len(c)) < short_prefix_length(n) for c, n in zip(codes, sizes, strict=True)])
         name = np.repeat(np.array(names, dtype="<i8"), lengths)
         size = np.repeat((np.log2(sizes) * SIZE_STEPS).astype("<u2"), lengths)
         owner = (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
         order = np.argsort(owner, kind="stable")
-        code, name, size, owner = code[order], name[order], size[order], owner[order]
+        code, name, size, short, owner = code[order], name[order], size[order], short[order], owner[order]
         cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
         spans = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.RecordBatch.from_arrays(
@@ -120,8 +172,9 @@ def _prefixes(sketch, owners: int):
                 pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
                 pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()),
                 pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([np.packbits(short[a:b]).tobytes() for a, b in spans], pa.binary()),
             ],
-            names=["owner", "codes", "classes", "sizes"],
+            names=["owner", "codes", "classes", "sizes", "short"],
         )
 
     def run(batches):
@@ -136,7 +189,7 @@ def _prefixes(sketch, owners: int):
                 if not len(own) or (key := set_key(own)) in seen:
                     continue
                 seen.add(key)
-                order = np.lexsort((own, counts[(own >> _SHIFT).astype(np.int64)]))[: prefix_length(len(own))]
+                order = np.argsort(ranks(own, counts), kind="stable")[: prefix_length(len(own))]  # codes ascend
                 codes.append(own[order])
                 names.append(key)
                 sizes.append(len(own))
@@ -150,15 +203,28 @@ def _edges(key, table):
     """Stars over the classes that share a prefix n-gram and whose sizes allow the similarity."""
     code = np.concatenate([_unpacked(x.as_py()) for x in table.column("codes")])
     name = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in table.column("classes")])
-    size = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in table.column("sizes")]).astype(np.int64)
-    order = np.lexsort((name, size, code))
-    code, name, size = code[order], name[order], size[order]
-    near = size[1:] - size[:-1] <= SIZE_STEPS * np.log2(100 / SIMILAR) + 2  # rounding may only let more through
-    joined = np.nonzero((code[1:] == code[:-1]) & near & (name[1:] != name[:-1]))[0]
-    u, v = stars(name[joined], name[joined + 1])
+    sizes = [np.frombuffer(x.as_py(), dtype="<u2") for x in table.column("sizes")]
+    short = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=len(n)) for x, n in zip(table.column("short"), sizes, strict=True)])
+    u, v = stars(*pairs_of_neighbours(code, name, np.concatenate(sizes).astype(np.int64), short.astype(bool)))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def pairs_of_neighbours(code: np.ndarray, name: np.ndarray, size: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every entry with the last one of its code before it, by size, whose short prefix holds the code.
+
+    Of linked classes the smaller one has their first common code in its short prefix. The entries in between
+    that are short have sizes in between, so all steps from the one to the other are near.
+    """
+    order = np.lexsort((name, ~short, size, code))  # a size stands for some; of equal ones the short entries come first
+    code, name, size, short = code[order], name[order], size[order], short[order]
+    last = np.maximum.accumulate(np.where(short, np.arange(len(code)), -1))[:-1]
+    at = np.flatnonzero(last >= 0) + 1
+    last = last[at - 1]
+    near = size[at] - size[last] <= SIZE_STEPS * np.log2(100 / SIMILAR) + 2  # rounding may only let more through
+    joined = near & (code[at] == code[last]) & (name[at] != name[last])
+    return name[at[joined]], name[last[joined]]
+
+
 def _segments(batches):
     """Rows (text, class, block, chunk, chunks) to a class's segments for every tile of its chunk."""
     for batch in batches:
@@ -272,13 +338,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(arrow_map(texts, _first_pass, "doc_id long, n_shingles long, class long, range int, counts binary"), "jaccard-sets")
     rows = first.filter("range IS NULL").select("doc_id", "n_shingles", "class")
     parts = first.filter("range IS NOT NULL").select("range", "counts").groupBy("range").applyInArrow(_sum_sketch, "range int, counts binary")
-    sketch = np.zeros((SKETCH_RANGES, (1 << SKETCH_BITS) // SKETCH_RANGES), dtype=np.uint8)
+    sketch = np.zeros((SKETCH_RANGES, _SEEN_BYTES + _COUNT_BYTES), dtype=np.uint8)
     for r in parts.collect():  # in one job; at most the sketch, compressed
         sketch[r["range"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(sketch.ravel())
+    shared = spark.sparkContext.broadcast(sketch)
     del sketch
 
-    prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary")
+    prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary, short binary")
     edges = prefixes.groupBy("owner").applyInArrow(_edges, "u long, v long")
     blocks = written(components(edges), "jaccard-blocks")
     shared.destroy()  # nothing reads the prefixes again

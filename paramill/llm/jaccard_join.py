@@ -2,10 +2,12 @@
 
 Documents are sets of word shingles; two of them link when their Jaccard similarity reaches 0.75.
 
-1. Documents with the same set form a class, which is joined once. The same pass notes in a sketch
-   of fixed size which shingles occur twice, and counts the frequent ones; the global n-gram order is
-   (once, then by count; code), rare first. A sketch only shapes the order, and any order gives the
-   same links.
+1. Documents with the same set form a class, which is joined once. Half of the n-gram codes (the even
+   ones) are counted exactly, whatever the size of the table: they go to owners of code ranges, which
+   send back those that several documents have, with their counts. Prefixes of small sets need odd
+   codes as well; a sketch of fixed size from the first pass notes which shingles occur twice, and
+   roughly how often. The global n-gram order is (even first; once, then by count; code), rare first.
+   Counts only shape the order, and any order gives the same links.
 2. Two linked classes share an n-gram among the first quarter of the larger one's order (prefix) that
    is among the first seventh of the smaller one's (short prefix). Owners of n-gram ranges order the
    classes of a shared prefix n-gram by set size and join those in whose short prefix it is with the
@@ -27,10 +29,12 @@ Shingles are compared by 48-bit codes, and equal sets by 64-bit names.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +53,10 @@ CHUNK, FRAGMENT_BITS = 1024, 2
 FRAGMENTS = 1 << FRAGMENT_BITS
 #: Set sizes are compared as logarithms to base 2, so many steps to one, in two bytes.
 SIZE_STEPS = 2500
-#: Prefix n-grams that a reading task gathers before it deals them out.
-PREFIXES_HELD = 1 << 19
+#: Codes, and classes, of a bundle: what a reading task gathers before it deals it out.
+BUNDLE_CODES, BUNDLE_CLASSES = 1 << 20, 1 << 15
+#: Codes of classes for tiles in a group of tiles, and classes up to which texts are joined with a broadcast.
+GROUP_CODES, BROADCAST_CLASSES = 1 << 22, 1 << 20
 _SEEN_SHIFT, _COUNT_SHIFT = np.uint64(CODE_BITS - SEEN_BITS), np.uint64(CODE_BITS - COUNT_BITS)
 _SEEN_BYTES, _COUNT_BYTES = (1 << SEEN_BITS) // 8 // SKETCH_RANGES, (1 << COUNT_BITS) // SKETCH_RANGES
 
@@ -153,48 +159,140 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
-def _prefixes(sketch, owners: int):
-    """Prefix n-grams with their class, dealt to the owners of n-gram ranges."""
+def _spans(owner: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where each of the values, which are sorted, goes."""
+    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else []
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
-    def dealt(codes, names, sizes):
-        code, lengths = np.concatenate(codes), list(map(len, codes))
-        short = np.concatenate([np.arange(len(c)) < short_prefix_length(n) for c, n in zip(codes, sizes, strict=True)])
-        name = np.repeat(np.array(names, dtype="<i8"), lengths)
-        size = np.repeat((np.log2(sizes) * SIZE_STEPS).astype("<u2"), lengths)
-        owner = (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
-        order = np.argsort(owner, kind="stable")
-        code, name, size, short, owner = code[order], name[order], size[order], short[order], owner[order]
-        cuts = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))[0]
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+
+def _owners(code: np.ndarray, owners: int) -> np.ndarray:
+    return (code >> np.uint64(CODE_BITS - 32)) * np.uint64(owners) >> np.uint64(32)
+
+
+_BUNDLES = "owner long, bundle long, codes binary, places binary, counts binary, classes binary"
+
+
+def _bundles(sketch, owners: int):
+    """Bundles of classes: a row with the classes for the bundle (owner below 0), and one with the even codes and the
+    places of their classes for every owner of codes."""
+
+    def dealt(bundle, classes, codes):
+        code = np.concatenate(codes)
+        place = np.repeat(np.arange(len(codes), dtype="<u2"), list(map(len, codes)))
+        owner = _owners(code, owners)
+        order = np.lexsort((code, owner))
+        code, place, owner = code[order], place[order], owner[order]
+        spans = _spans(owner)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([int(owner[a]) for a, _ in spans], pa.int32()),
-                pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
-                pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([np.packbits(short[a:b]).tobytes() for a, b in spans], pa.binary()),
+                pa.array([-1 - bundle, *(int(owner[a]) for a, _ in spans)], pa.int64()),
+                pa.array([bundle] * (len(spans) + 1), pa.int64()),
+                pa.array([None, *(_packed(code[a:b]).tobytes() for a, b in spans)], pa.binary()),
+                pa.array([None, *(place[a:b].tobytes() for a, b in spans)], pa.binary()),
+                pa.nulls(len(spans) + 1, pa.binary()),
+                pa.array([pickle.dumps(classes), *[None] * len(spans)], pa.binary()),
             ],
-            names=["owner", "codes", "classes", "sizes", "short"],
+            names=["owner", "bundle", "codes", "places", "counts", "classes"],
         )
 
     def run(batches):
         counts = sketch.value
-        codes, names, sizes, seen = [], [], [], set()
+        bundle = TaskContext.get().partitionId() << 32
+        classes, codes, held, seen = [], [], 0, set()
         for batch in batches:
-            if sum(map(len, codes)) > PREFIXES_HELD:
-                yield dealt(codes, names, sizes)
-                codes, names, sizes, seen = [], [], [], set()
             for text in batch.column(0).to_pylist():
                 own = shingle_codes(text)
                 if not len(own) or (key := set_key(own)) in seen:
                     continue
                 seen.add(key)
-                order = np.argsort(ranks(own, counts), kind="stable")[: prefix_length(len(own))]  # codes ascend
-                codes.append(own[order])
-                names.append(key)
-                sizes.append(len(own))
+                even = own & np.uint64(1) == 0
+                codes.append(own[even])
+                odd, n, evens = own[~even], len(own), len(codes[-1])
+                if (more := prefix_length(n) - evens) > 0:
+                    odd = odd[np.argsort(ranks(odd, counts), kind="stable")]  # codes ascend
+                classes.append((key, n, evens, odd[: max(0, more)].copy()))
+                held += evens
+                if held >= BUNDLE_CODES or len(codes) >= BUNDLE_CLASSES:
+                    yield dealt(bundle, classes, codes)
+                    bundle, classes, codes, held, seen = bundle + 1, [], [], 0, set()
         if codes:
-            yield dealt(codes, names, sizes)
+            yield dealt(bundle, classes, codes)
+
+    return run
+
+
+def _met_again(key, table):
+    """An owner's codes that several classes of the bundles have, for each bundle, with counts in eighths of a doubling."""
+    if key[0].as_py() < 0:
+        return table  # a bundle's own row
+    parts = [_unpacked(x.as_py()) for x in table.column("codes")]
+    code, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
+    place = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in table.column("places")])
+    del parts
+    _, of, met = np.unique(code, return_inverse=True, return_counts=True)
+    met = met[of]
+    again = np.flatnonzero(met > 1)  # the rows one after the other, as before
+    code, row, place = code[again], row[again], place[again]
+    steps = np.minimum(8 * np.log2(met[again]), 255).astype(np.uint8)
+    spans = _spans(row)
+    bundle = table.column("bundle").to_numpy()
+    return pa.table(
+        [
+            pa.array([key[0].as_py()] * len(spans), pa.int64()),
+            pa.array([bundle[row[a]] for a, _ in spans], pa.int64()),
+            pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
+            pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([steps[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.nulls(len(spans), pa.binary()),
+        ],
+        names=table.column_names,
+    )
+
+
+def ordered_prefixes(n: np.ndarray, evens: np.ndarray, code: np.ndarray, place: np.ndarray, met: np.ndarray):
+    """(code, place, whether in the short prefix) of the prefix n-grams that others have too: ``code`` are the even
+    codes met again of the classes at ``place``, which have ``n`` codes and ``evens`` even ones."""
+    order = np.lexsort((code, met, place))
+    code, place = code[order], place[order]
+    again = np.bincount(place, minlength=len(n))
+    at = np.arange(len(code)) - (np.cumsum(again) - again)[place] + (evens - again)[place]
+    kept = at < prefix_length(n)[place]
+    return code[kept], place[kept], (at < short_prefix_length(n)[place])[kept]
+
+
+def _prefixes(owners: int):
+    """The prefix n-grams of a bundle with their class, dealt to the owners of n-gram ranges."""
+
+    def run(key, table):
+        classes, codes, places, met = [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype="<u2")], [np.zeros(0, dtype=np.uint8)]
+        for own, code, place, counts in zip(*(table.column(c) for c in ("classes", "codes", "places", "counts")), strict=True):
+            if own.is_valid:
+                classes = pickle.loads(own.as_py())  # noqa: S301 -- written by our own tasks
+            else:
+                codes.append(_unpacked(code.as_py()))
+                places.append(np.frombuffer(place.as_py(), dtype="<u2"))
+                met.append(np.frombuffer(counts.as_py(), dtype=np.uint8))
+        names, n, evens = (np.array([c[i] for c in classes], dtype=np.int64) for i in range(3))
+        code, place, short = ordered_prefixes(n, evens, *map(np.concatenate, (codes, places, met)))
+        odd = [c[3] for c in classes]
+        more = np.repeat(np.arange(len(odd)), list(map(len, odd)))
+        after = np.concatenate([np.arange(len(x)) for x in odd]) + evens[more] < short_prefix_length(n)[more]
+        code, place, short = np.concatenate([code, *odd]), np.concatenate([place, more]), np.concatenate([short, after])
+        owner = _owners(code, owners)
+        order = np.argsort(owner, kind="stable")
+        code, place, short, owner = code[order], place[order], short[order], owner[order]
+        name, size = names.astype("<i8")[place], (np.log2(n) * SIZE_STEPS).astype("<u2")[place]
+        spans = _spans(owner)
+        return pa.table(
+            [
+                pa.array([int(owner[a]) for a, _ in spans], pa.int32()),
+                pa.array([_packed(code[a:b]).tobytes() for a, b in spans], pa.binary()),
+                pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([np.packbits(short[a:b]).tobytes() for a, b in spans], pa.binary()),
+            ],
+            names=["owner", "codes", "classes", "sizes", "short"],
+        )
 
     return run
 
@@ -304,26 +402,25 @@ def _count(key, table):
 
 def _verify(key, table):
     """Sum the partial counts per pair, compare with the sizes, pass on stars over what the links join."""
-    sums: dict[str, list] = {}
-    for tile, classes, left, sizes, counts in zip(*(table.column(c).to_pylist() for c in ("tile", "classes", "left", "sizes", "counts")), strict=True):
-        sizes = np.frombuffer(sizes, dtype="<i8")
-        shape = (left, len(sizes) if left == len(sizes) else len(sizes) - left)
-        counts = np.frombuffer(zlib.decompress(counts), dtype="<u4").reshape(shape).astype(np.int64)
-        if tile in sums:
-            sums[tile][2] += sizes
-            sums[tile][3] += counts
-        else:
-            sums[tile] = [np.frombuffer(classes, dtype="<i8"), left, sizes.copy(), counts]
+    parts: dict[str, list[int]] = {}
+    for i, tile in enumerate(table.column("tile").to_pylist()):
+        parts.setdefault(tile, []).append(i)
     found = [np.zeros((0, 2), dtype=np.int64)]
-    for classes, left, sizes, counts in sums.values():
-        square = left == len(sizes)
+    for own in parts.values():  # one after the other: a tile's pairs may be a million
+        classes = np.frombuffer(table.column("classes")[own[0]].as_py(), dtype="<i8")
+        left, n = table.column("left")[own[0]].as_py(), len(classes)
+        square = left == n
+        sizes, counts = np.zeros(n, dtype=np.int64), np.zeros((left, n if square else n - left), dtype=np.int64)
+        for i in own:
+            sizes += np.frombuffer(table.column("sizes")[i].as_py(), dtype="<i8")
+            counts += np.frombuffer(zlib.decompress(table.column("counts")[i].as_py()), dtype="<u4").reshape(counts.shape)
         a, b = np.nonzero(counts)
         shift = 0 if square else left
         common = counts[a, b]
         linked = (a < b + shift) & (100 * common >= SIMILAR * (sizes[a] + sizes[b + shift] - common))
         links = np.stack([a[linked], b[linked] + shift], axis=1)
-        least = least_reached(links, len(sizes))
-        hung = np.nonzero(least != np.arange(len(sizes)))[0]
+        least = least_reached(links, n)
+        hung = np.nonzero(least != np.arange(n))[0]
         found.append(classes[np.stack([hung, least[hung]], axis=1)])
     both = np.concatenate(found)
     return pa.table({"u": pa.array(both[:, 0], pa.int64()), "v": pa.array(both[:, 1], pa.int64())})
@@ -344,25 +441,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(sketch)
     del sketch
 
-    prefixes = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _prefixes(shared, tasks), "owner int, codes binary, classes binary, sizes binary, short binary")
+    owners = max(tasks, -(-(rows.agg(F.sum("n_shingles")).first()[0] or 0) // GROUP_CODES))
+    bundles = arrow_map(texts.filter("doc_id IS NOT NULL").select("text"), _bundles(shared, owners), _BUNDLES)
+    again = bundles.groupBy("owner").applyInArrow(_met_again, _BUNDLES)
+    prefixes = again.groupBy("bundle").applyInArrow(_prefixes(owners), "owner int, codes binary, classes binary, sizes binary, short binary")
     edges = prefixes.groupBy("owner").applyInArrow(_edges, "u long, v long")
     blocks = written(components(edges), "jaccard-blocks")
     shared.destroy()  # nothing reads the prefixes again
 
-    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"))
+    classes = rows.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("codes"))
     sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     placed = blocks.join(sizes, "component").select(
         F.col("node").alias("class"), F.col("component").alias("block"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks"
     )
-    placed = placed.join(classes, "class")
-    members = texts.join(placed.withColumnRenamed("least_id", "doc_id"), "doc_id").select("text", "class", "block", "chunk", "chunks")
+    placed = written(placed.join(classes, "class").withColumnRenamed("least_id", "doc_id"), "jaccard-places")
+    size = placed.agg(F.count("*").alias("classes"), F.sum(F.col("codes") * F.col("chunks")).alias("codes")).first()
+    few = size["classes"] <= BROADCAST_CLASSES  # else all texts are shuffled for the few that are in blocks
+    members = texts.join(F.broadcast(placed) if few else placed, "doc_id").select("text", "class", "block", "chunk", "chunks")
     segments = arrow_map(members, _segments, "tile string, fragment int, class long, side int, codes binary")
-    bins = F.pmod(F.xxhash64("tile"), F.lit(tasks))
+    # what tiles hold grows faster than the texts, so groups of tiles are cut by that
+    bins = F.pmod(F.xxhash64("tile"), F.lit(max(tasks, -(-(size["codes"] or 0) // GROUP_CODES))))
     counted = segments.withColumn("bin", bins).groupBy("bin", "fragment").applyInArrow(_count, "tile string, classes binary, left int, sizes binary, counts binary")
     links = counted.withColumn("bin", bins).groupBy("bin").applyInArrow(_verify, "u long, v long")
     linked = components(links)
 
-    known = classes.join(linked.withColumnRenamed("node", "class"), "class", "left")
+    known = classes.drop("codes").join(linked.withColumnRenamed("node", "class"), "class", "left")
     known = known.withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = known.join(least, "component").select(F.col("class").alias("_class"), "component_id")

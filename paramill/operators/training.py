@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paramill.operators.audit import _c
+from paramill.operators.audit import _c, nan_to_null
 from paramill.operators.imputation import ChainedImputer, ChainedImputerModel, numbers_of
 from paramill.operators.metrics import regression_metrics, rmse_by_fold
 from paramill.operators.splits import FOLD
-from paramill.operators.trees import Model, Spec, Table, fit_models, held_out_errors
+from paramill.operators.trees import Folds, Model, Spec, Table, fit_models, held_out_errors
 from paramill.session import drop_stage, ship, stage
 
 PREDICTION = "prediction"
@@ -175,6 +175,26 @@ def families(pipeline: SupervisedPipeline, settings: list[dict]) -> dict[tuple,
     return out
 
 
+def folds_filled(df: DataFrame, pipeline: SupervisedPipeline, imputers: list[ChainedImputerModel]) -> DataFrame:
+    """The rows of ``df``, equal ones together, filled by the imputer of each fold: for :class:`Folds`, written."""
+    names = [f"x{i}" for i in range(len(pipeline.features))]
+    raw = nan_to_null(df.select(*[_c(c).cast("double").alias(x) for c, x in zip(pipeline.features, names, strict=True)], _c(pipeline.target).cast("double").alias("y"), F.col(FOLD).cast("int").alias("fold")))
+    raw = raw.groupBy(*names, "y", "fold").agg(F.count("*").alias("n"))
+    # by what is known of a row, so that it is drawn alike whatever fills its gaps
+    raw = raw.select(*names, "y", "n", "fold", F.xxhash64(*[F.coalesce(x, F.lit(float("nan"))) for x in names], "y", "fold").alias("key"))
+    shared = df.sparkSession.sparkContext.broadcast(imputers)
+
+    def run(batches):
+        for batch in batches:
+            values = np.stack([numbers_of(batch, i) for i in range(len(names))])
+            filled = [pa.array(x) for imputer in shared.value for x in imputer.filled(values)]
+            yield pa.RecordBatch.from_arrays([*filled, *batch.columns[len(names) :]], names=schema.names)
+
+    schema = T.StructType([T.StructField(f"v{f}{x}", T.DoubleType()) for f in range(len(imputers)) for x in names] + raw.schema.fields[len(names) :])
+    ship(df.sparkSession)
+    return stage(raw.mapInArrow(run, schema), "fold-rows", parallel=True)
+
+
 def grid_search(
     pipeline: SupervisedPipeline,
     df: DataFrame,
@@ -185,27 +205,40 @@ def grid_search(
     """Best setting by mean squared error over the folds, refitted on all rows.
 
     Gives ``(model, best setting, sqrt of its mean MSE, all scores)``. The imputer has no setting
-    to search, so each fold is imputed and binned once for all settings, and settings that nest
-    share a fit. Folds without rows have no error and no say.
+    to search, so each fold is imputed and binned once for all settings, settings that nest share a fit,
+    and one pass over the rows draws for all folds. Folds without rows have no error and no say.
     """
     settings = settings if settings is not None else grid(pipeline.model_type)
     own = families(pipeline, settings)
 
-    def errors(f: int) -> list[dict]:
-        columns = [_c(c) for c in (*pipeline.features, pipeline.target, FOLD)]
-        imputer = pipeline.imputer.fit(df.where(F.col(FOLD) != f), pipeline.features)
-        table = Table(imputer.transform(df.select(*columns)), pipeline.features, pipeline.target, fold=FOLD, held=f)
-        specs = []
+    def specs(f: int) -> list[Spec]:
+        out = []
         for members in own.values():
             sizes = sorted({m["n_estimators"] for m in members})
             depths = sorted({m["max_depth"] or DEEPEST for m in members})
             trial = SupervisedPipeline(pipeline.features, pipeline.target, pipeline.model_type, members[0], pipeline.imputer, pipeline.seed)
-            specs.append(trial.spec(f, n_estimators=sizes[-1], max_depth=depths[-1], marks=sizes, depths=depths))
-        found = held_out_errors(table, specs)
+            out.append(trial.spec(f, n_estimators=sizes[-1], max_depth=depths[-1], marks=sizes, depths=depths))
+        return out
+
+    def imputer(f: int) -> ChainedImputerModel:
+        return pipeline.imputer.fit(df.where(F.col(FOLD) != f), pipeline.features)
+
+    rows = folds_filled(df, pipeline, _together(df.sparkSession, imputer, list(range(folds)), parallelism))
+    views = Folds(rows, pipeline.features, folds)
+    wanted = [specs(f) for f in range(folds)]
+    found = views.errors([s for own_specs in wanted for s in own_specs])
+
+    def errors(f: int) -> list[dict]:
+        table = views.table(f)
+        out = held_out_errors(table, wanted[f])
         table.drop()
-        return found
+        return out
 
-    per_fold = _together(df.sparkSession, errors, list(range(folds)), parallelism)
+    if found is None:
+        per_fold = _together(df.sparkSession, errors, list(range(folds)), parallelism)
+    else:
+        per_fold = [found[f * len(own) : (f + 1) * len(own)] for f in range(folds)]
+    drop_stage(rows)
     place = {id(m): i for i, members in enumerate(own.values()) for m in members}
     scores = []
     for s in settings:

@@ -8,7 +8,10 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -195,6 +198,33 @@ def folds_filled(df: DataFrame, pipeline: SupervisedPipeline, imputers: list[Cha
     return stage(raw.mapInArrow(run, schema), "fold-rows", parallel=True)
 
 
+#: Views of tables that searches share, by what they depend on.
+_kept: ContextVar[dict | None] = ContextVar("_kept", default=None)
+
+
+@contextmanager
+def views_kept() -> Iterator[None]:
+    """Searches inside over the same table, features and imputer share what each fold sees."""
+    kept: dict = {}
+    before = _kept.set(kept)
+    try:
+        yield
+    finally:
+        _kept.reset(before)
+        for views in kept.values():
+            views.drop()
+
+
+def fold_views(pipeline: SupervisedPipeline, df: DataFrame, folds: int, parallelism: int = 2) -> Folds:
+    """The rows as the fits of every held fold see them, for any model over the same features."""
+
+    def imputer(f: int) -> ChainedImputerModel:
+        return pipeline.imputer.fit(df.where(F.col(FOLD) != f), pipeline.features)
+
+    imputers = _together(df.sparkSession, imputer, list(range(folds)), parallelism)
+    return Folds(folds_filled(df, pipeline, imputers), pipeline.features, folds)
+
+
 def grid_search(
     pipeline: SupervisedPipeline,
     df: DataFrame,
@@ -220,11 +250,9 @@ def grid_search(
             out.append(trial.spec(f, n_estimators=sizes[-1], max_depth=depths[-1], marks=sizes, depths=depths))
         return out
 
-    def imputer(f: int) -> ChainedImputerModel:
-        return pipeline.imputer.fit(df.where(F.col(FOLD) != f), pipeline.features)
-
-    rows = folds_filled(df, pipeline, _together(df.sparkSession, imputer, list(range(folds)), parallelism))
-    views = Folds(rows, pipeline.features, folds)
+    kept = _kept.get()
+    name = id(df), tuple(pipeline.features), pipeline.target, repr(pipeline.imputer), folds
+    views = (kept or {}).get(name) or fold_views(pipeline, df, folds, parallelism)
     wanted = [specs(f) for f in range(folds)]
     found = views.errors([s for own_specs in wanted for s in own_specs])
 
@@ -238,7 +266,10 @@ def grid_search(
         per_fold = _together(df.sparkSession, errors, list(range(folds)), parallelism)
     else:
         per_fold = [found[f * len(own) : (f + 1) * len(own)] for f in range(folds)]
-    drop_stage(rows)
+    if kept is None:
+        views.drop()
+    else:
+        kept[name] = views
     place = {id(m): i for i, members in enumerate(own.values()) for m in members}
     scores = []
     for s in settings:

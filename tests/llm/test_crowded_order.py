@@ -1,6 +1,7 @@
 """Owners of codes count n-grams, also where a sketch is too crowded to tell those met once."""
 
 import random
+import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
@@ -65,3 +66,18 @@ def test_prefixes_hold_the_rarest_after_those_met_once():
     got = jaccard_join.ordered_prefixes(np.array([12, 40]), np.array([4, 20]), code, place, met)
     # of the first set's four prefix n-grams one was met once; the second's eleven all were
     assert [x.tolist() for x in got] == [[4, 6, 2], [0, 0, 0], [True, False, False]]
+
+
+def test_tiles_of_a_group_are_summed_one_after_the_other():
+    """All pairs of a group's tiles used to lie in memory at once."""
+    n, rows = 600, []
+    blob = jaccard_join.zlib.compress(np.zeros((n, n), dtype="<u4").tobytes(), 1)
+    for tile in range(20):
+        names = np.arange(tile * n, (tile + 1) * n, dtype="<i8")
+        rows += [{"tile": f"{tile}:0:0", "classes": names.tobytes(), "left": n, "sizes": np.full(n, 9, "<i8").tobytes(), "counts": blob}] * 2
+    table = pa.Table.from_pylist(rows)
+    tracemalloc.start()
+    out = jaccard_join._verify((pa.scalar(0),), table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 0 and most < 20e6  # a tile's pairs take 3 MB
